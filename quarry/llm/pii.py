@@ -112,6 +112,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + ADDED}
     if at:
         found["email"] = emails(text, at)
+    digits = [d for d, before in zip(digits, [-2, *digits]) if d != before + 1]  # within a run of digits only the first can begin a match
     if digits:
         found["ip"], found["card"] = numbers(text, digits)
         # a quantified tail may be long, so the phone's anchors are tried in order like the others
