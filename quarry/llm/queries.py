@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quarry.llm import language, lines, pack, pii, simhash, substring, token_count
+from quarry.llm import decontaminate, language, lines, mih, pack, pii, simhash, substring, token_count
 from quarry.llm._base import read
 
 
+def op1_multi_index_hashing(spark, sf_dir):
+    return mih.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op2_latent_decontamination(spark, sf_dir):
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_pii_anchors, op5_unit_dedup, op6_token_counts, op7_suffix_dedup, op8_language_mixture, op9_site_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op2_latent_decontamination, op3_simhash_near_dedup, op4_pii_anchors, op5_unit_dedup, op6_token_counts, op7_suffix_dedup, op8_language_mixture, op9_site_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql():
