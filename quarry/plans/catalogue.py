@@ -1,9 +1,504 @@
-"""Queries over the driver's tables, one for each operator, with their SQL."""
+"""Queries over the driver's tables, one for each operator, each with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry import providers
+from quarry.functions import fixed, text
+from quarry.operators import agent, chunking, corpus, evaluate, graph, resolution, retrieval
+from quarry.plans import inputs
+from quarry.sources import store
+
+_FOUND: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _FOUND[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(_FOUND)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- shared SQL ---------------------------------------------------------------------------------------------------
+
+_ASKED = "the apache license of thon"
+_TERMS = ["the", "apache", "license", "of", "thon"]
+_VECTOR = """vec AS (SELECT e.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+ FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.embedding IS NOT NULL),
+vec_top AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM vec QUALIFY rank <= 20)"""
+_FOLD = "lower(strip_accents({}))"
+_WORDS = "list_filter(regexp_split_to_array(" + _FOLD.format("text") + ", '[^a-z0-9_ßæøœđłıºª''·]+'), lambda w: w <> '')"
+_POSTINGS = """tokens AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+')) AS term FROM documents),
+postings AS (SELECT term, chunk_id, count(*) AS tf FROM tokens GROUP BY 1, 2)"""
+_LEXICAL = _POSTINGS + """,
+lex AS (SELECT chunk_id, 0.1 * sum(tf) AS score FROM postings WHERE term IN ('the', 'apache', 'license', 'of', 'thon') GROUP BY 1),
+lex_top AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM lex QUALIFY rank <= 20)"""
+_FUSED = """fused AS (SELECT chunk_id, sum(w / (60 + rank)) AS score FROM (SELECT chunk_id, rank, 1.0::DOUBLE AS w FROM vec_top UNION ALL SELECT chunk_id, rank, {w}::DOUBLE FROM lex_top) GROUP BY 1),
+fused_top AS (SELECT chunk_id, score, row_number() OVER (ORDER BY round(score, 12) DESC, chunk_id::VARCHAR) AS rank FROM fused)"""
+_MENTIONS = """longs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\n]+'), lambda w: length(w) >= 12) AS w FROM documents),
+mentions AS (SELECT DISTINCT unnest(w) AS entity_key, doc_id AS chunk_id FROM longs),
+overall AS (SELECT entity_key, count(*) AS overall FROM mentions GROUP BY 1),
+ceiling AS (SELECT greatest(3, floor(greatest(1, count(DISTINCT chunk_id)) * 0.05)) AS ceiling FROM mentions)"""
+_SEEDS = """seeds AS (SELECT entity_key, local, overall, row_number() OVER (ORDER BY local DESC, overall DESC, entity_key) AS rank FROM (
+ SELECT entity_key, count(*) AS local FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM {hits} WHERE rank <= 5) GROUP BY 1) JOIN overall USING (entity_key), ceiling WHERE overall <= ceiling QUALIFY rank <= 12)"""
+_EDGES = """word_edges AS (SELECT DISTINCT a, b FROM (SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM longs WHERE len(w) > 1)),
+both_ways AS (SELECT a, b FROM word_edges WHERE a <> b UNION SELECT b, a FROM word_edges WHERE a <> b)"""
+_NEAR = """near AS (SELECT DISTINCT b AS entity_key FROM (SELECT entity_key AS seed, b, row_number() OVER (PARTITION BY entity_key ORDER BY b) AS n FROM seeds JOIN both_ways ON entity_key = a WHERE b <> entity_key) WHERE n <= 40),
+fresh AS (SELECT entity_key FROM near WHERE entity_key NOT IN (SELECT entity_key FROM seeds)),
+expanded AS (SELECT chunk_id, count(DISTINCT entity_key)::DOUBLE AS score FROM mentions JOIN fresh USING (entity_key) WHERE chunk_id NOT IN (SELECT chunk_id FROM {hits} WHERE rank <= 5) GROUP BY 1),
+expanded_top AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM expanded QUALIFY rank <= 20)"""
+_NODES = """nodes AS (SELECT 'region:' || r_regionkey AS key, r_name AS name, 'Lugar' AS type FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'Lugar' FROM nation
+ UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'Organizacao' FROM supplier UNION ALL SELECT 'customer:' || c_custkey, c_name, 'Organizacao' FROM customer UNION ALL SELECT 'part:' || p_partkey, p_name, 'Produto' FROM part),
+edges AS (SELECT 'nation:' || n_nationkey AS source_key, 'region:' || n_regionkey AS target_key, 'LOCALIZADA_EM' AS type, 'n' AS chunk_id, n_name AS evidence FROM nation
+ UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'LOCALIZADA_EM', 's', s_name FROM supplier
+ UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'LOCALIZADA_EM', 'c', c_name FROM customer
+ UNION ALL SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'FORNECE_PARA', l_orderkey::VARCHAR, l_linenumber::VARCHAR FROM lineitem)"""
+
+
+def _question(spark, sf_dir):
+    return spark.createDataFrame([(0, _ASKED)], "query_id int, text string")
+
+
+def _vector_hits(spark, sf_dir):
+    q = inputs.read(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()
+    return retrieval.vector_topk(inputs.vectors(spark, sf_dir), list(q.embedding))
+
+
+def _lexical_hits(spark, sf_dir):
+    return retrieval.lexical_search(retrieval.postings(inputs.plain_chunks(spark, sf_dir)), _question(spark, sf_dir))
+
+
+# ---- retrieval ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_VECTOR} SELECT chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM vec_top")
+def vector_topk(spark, sf_dir):
+    return _rounded(_vector_hits(spark, sf_dir), "score").select("chunk_id", "score", "rank")
+
+
+@query("""SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10""")
+def vector_topk_batch(spark, sf_dir):
+    return _rounded(retrieval.vector_search(inputs.vectors(spark, sf_dir), inputs.vector_questions(spark, sf_dir), 10), "score")
+
+
+@query(f"""WITH {_VECTOR} SELECT chunk_id, rank::INTEGER AS rank, 'doc ' || doc_id || CASE WHEN coalesce(source, '') <> '' THEN ' > ' || source ELSE '' END AS citation, length(text)::INTEGER AS char_count
+FROM vec_top JOIN documents ON doc_id = chunk_id""")
+def vector_citation(spark, sf_dir):
+    hits = retrieval.with_payload(_vector_hits(spark, sf_dir), inputs.chunks(spark, sf_dir), inputs.documents(spark, sf_dir))
+    return hits.select("chunk_id", "rank", "citation", F.length("content").alias("char_count"))
+
+
+@query(f"WITH {_LEXICAL} SELECT chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lex_top")
+def lexical_or_rank(spark, sf_dir):
+    return _rounded(_lexical_hits(spark, sf_dir), "score").select("chunk_id", "score", "rank")
+
+
+@query("SELECT doc_id AS chunk_id, 0.0::DOUBLE AS score FROM documents WHERE false")
+def lexical_stopword_only(spark, sf_dir):
+    asked = spark.createDataFrame([(0, "de o que para")], "query_id int, text string")
+    return retrieval.lexical_search(retrieval.postings(inputs.plain_chunks(spark, sf_dir)), asked).select("chunk_id", "score")
+
+
+@query(f"""WITH {_POSTINGS}, lengths AS (SELECT chunk_id, sum(tf)::DOUBLE AS len FROM postings WHERE term NOT IN ({", ".join(f"'{w}'" for w in fixed.STOP_WORDS)}) GROUP BY 1), totals AS (SELECT count(*) AS n, avg(len) AS mean FROM lengths),
+wanted AS (SELECT unnest(['the', 'apache', 'license', 'of', 'thon']) AS term), df AS (SELECT term, count(*) AS df FROM postings WHERE term IN (SELECT term FROM wanted) GROUP BY 1),
+scored AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM postings JOIN df USING (term) JOIN lengths USING (chunk_id), totals GROUP BY 1)
+SELECT chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 20""")
+def lexical_bm25(spark, sf_dir):
+    found = retrieval.bm25_search(retrieval.postings(inputs.plain_chunks(spark, sf_dir)), _question(spark, sf_dir))
+    return _rounded(found, "score").select("chunk_id", "score", "rank")
+
+
+@query(f"WITH {_VECTOR}, {_LEXICAL}, {_FUSED.format(w='1.0')} SELECT chunk_id, round(score, 9) AS score, rank::INTEGER AS rank FROM fused_top")
+def rrf_fusion(spark, sf_dir):
+    return _rounded(retrieval.fuse([(_vector_hits(spark, sf_dir), 1.0), (_lexical_hits(spark, sf_dir), 1.0)]), "score", digits=9).select("chunk_id", "score", "rank")
+
+
+@query(f"WITH {_VECTOR}, {_LEXICAL}, {_FUSED.format(w='0.4')} SELECT chunk_id, round(score, 9) AS score, rank::INTEGER AS rank FROM fused_top WHERE rank <= 15")
+def rrf_weighted(spark, sf_dir):
+    v = _vector_hits(spark, sf_dir)
+    return _rounded(retrieval.fuse([(v, 1.0), (_lexical_hits(spark, sf_dir), 0.4), (v, 0.0)], limit=15), "score", digits=9).select("chunk_id", "score", "rank")
+
+
+@query(f"WITH {_MENTIONS} SELECT entity_key, overall::BIGINT AS overall FROM overall, ceiling WHERE overall > ceiling")
+def hub_cut(spark, sf_dir):
+    m = inputs.mentions(spark, sf_dir)
+    return m.groupBy("entity_key").agg(F.count("*").alias("overall")).join(F.broadcast(retrieval.hub_ceiling(m))).filter("overall > ceiling").select("entity_key", "overall")
+
+
+@query(f"WITH {_VECTOR}, {_MENTIONS}, {_SEEDS.format(hits='vec_top')} SELECT entity_key, local::BIGINT AS local, overall::BIGINT AS overall, rank::INTEGER AS rank FROM seeds")
+def seed_entities(spark, sf_dir):
+    return retrieval.seed_entities(inputs.mentions(spark, sf_dir), _vector_hits(spark, sf_dir).filter("rank <= 5")).select("entity_key", "local", "overall", "rank")
+
+
+@query(f"WITH {_VECTOR}, {_MENTIONS}, {_SEEDS.format(hits='vec_top')}, {_EDGES}, {_NEAR.format(hits='vec_top')} SELECT entity_key FROM near")
+def khop_expand(spark, sf_dir):
+    seeds = retrieval.seed_entities(inputs.mentions(spark, sf_dir), _vector_hits(spark, sf_dir).filter("rank <= 5"))
+    return retrieval.neighbour_keys(inputs.word_edges(spark, sf_dir), seeds).select("entity_key")
+
+
+@query(f"WITH {_VECTOR}, {_MENTIONS}, {_SEEDS.format(hits='vec_top')}, {_EDGES}, {_NEAR.format(hits='vec_top')} SELECT chunk_id, score, rank::INTEGER AS rank FROM expanded_top")
+def chunks_of_entities(spark, sf_dir):
+    hits = _vector_hits(spark, sf_dir).filter("rank <= 5")
+    return retrieval.expand(inputs.mentions(spark, sf_dir), inputs.word_edges(spark, sf_dir), hits).select("chunk_id", "score", "rank")
+
+
+@query(f"""WITH {_VECTOR}, {_LEXICAL}, {_FUSED.format(w='1.0')}, base AS (SELECT * FROM fused_top WHERE rank <= 20), {_MENTIONS}, {_SEEDS.format(hits='base')}, {_EDGES}, {_NEAR.format(hits='base')},
+again AS (SELECT chunk_id, sum(w / (60 + rank)) AS score FROM (SELECT chunk_id, rank, 1.0::DOUBLE AS w FROM base UNION ALL SELECT chunk_id, rank, 0.5::DOUBLE FROM expanded_top) GROUP BY 1)
+SELECT chunk_id, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, chunk_id::VARCHAR) AS rank FROM again) WHERE rank <= 10""")
+def hybrid_fused(spark, sf_dir):
+    found = retrieval.hybrid(_vector_hits(spark, sf_dir), _lexical_hits(spark, sf_dir), inputs.mentions(spark, sf_dir), inputs.word_edges(spark, sf_dir), limit=10)
+    return _rounded(found, "score", digits=9).select("chunk_id", "score", "rank")
+
+
+@query(f"""WITH {_VECTOR}, base AS (SELECT * FROM vec_top), {_MENTIONS}, fused0 AS (SELECT chunk_id, 1.0::DOUBLE / (60 + rank) AS score, rank FROM base), {_SEEDS.format(hits='base')}, {_EDGES}, {_NEAR.format(hits='base')},
+again AS (SELECT chunk_id, sum(w / (60 + rank)) AS score FROM (SELECT chunk_id, rank, 1.0::DOUBLE AS w FROM fused0 UNION ALL SELECT chunk_id, rank, 0.5::DOUBLE FROM expanded_top) GROUP BY 1)
+SELECT chunk_id, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, chunk_id::VARCHAR) AS rank FROM again) WHERE rank <= 10""")
+def graph_mode(spark, sf_dir):
+    found = retrieval.hybrid(_vector_hits(spark, sf_dir), None, inputs.mentions(spark, sf_dir), inputs.word_edges(spark, sf_dir), mode="graph", limit=10)
+    return _rounded(found, "score", digits=9).select("chunk_id", "score", "rank")
+
+
+@query(f"""WITH {_LEXICAL}, own AS (SELECT chunk_id, len(list_intersect(['the', 'apache', 'license', 'of', 'thon'], regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}_]+'))) / 5.0::DOUBLE AS score FROM lex_top JOIN documents ON doc_id = chunk_id)
+SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM own""")
+def rerank_hits(spark, sf_dir):
+    hits = _lexical_hits(spark, sf_dir).join(inputs.plain_chunks(spark, sf_dir), "chunk_id")
+    return _rounded(retrieval.rerank(hits, _question(spark, sf_dir), providers.overlap_scorer), "score").select("chunk_id", "score", "rank")
+
+
+# ---- graph --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_NODES} SELECT (SELECT count(*) FROM nodes)::BIGINT AS nodes, (SELECT count(*) FROM edges)::BIGINT AS edges")
+def graph_stats(spark, sf_dir):
+    return graph.stats(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir))
+
+
+@query(f"""WITH {_NODES}, out_side AS (SELECT name, n.type AS node_type, e.type AS relation, 'saindo' AS direction, evidence, chunk_id FROM edges e JOIN nodes n ON e.target_key = n.key WHERE source_key = 'supplier:1' ORDER BY e.type, name, chunk_id, evidence LIMIT 50),
+in_side AS (SELECT name, n.type AS node_type, e.type AS relation, 'entrando' AS direction, evidence, chunk_id FROM edges e JOIN nodes n ON e.source_key = n.key WHERE target_key = 'supplier:1' ORDER BY e.type, name, chunk_id, evidence LIMIT 50)
+SELECT * FROM out_side UNION ALL SELECT * FROM in_side""")
+def neighbors_out(spark, sf_dir):
+    return graph.neighbours(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "supplier:1")
+
+
+@query(f"""WITH {_NODES} SELECT name, n.type AS node_type, e.type AS relation, 'entrando' AS direction, evidence, chunk_id FROM edges e JOIN nodes n ON e.source_key = n.key WHERE target_key = 'region:1' UNION ALL
+SELECT name, n.type, e.type, 'saindo', evidence, chunk_id FROM edges e JOIN nodes n ON e.target_key = n.key WHERE source_key = 'region:1'""")
+def neighbors_in(spark, sf_dir):
+    return graph.neighbours(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "region:1")
+
+
+@query(f"""WITH {_NODES}, near AS (SELECT name, n.type AS node_type, e.type AS relation, 'saindo' AS direction, evidence, chunk_id FROM edges e JOIN nodes n ON e.target_key = n.key WHERE source_key = 'customer:1' ORDER BY e.type, name, chunk_id, evidence LIMIT 50),
+far AS (SELECT DISTINCT name, n.type AS node_type FROM edges a JOIN edges b ON a.target_key = b.source_key JOIN nodes n ON b.target_key = n.key WHERE a.source_key = 'customer:1' AND b.target_key <> 'customer:1' ORDER BY 1, 2 LIMIT 50)
+SELECT * FROM near UNION ALL SELECT name, node_type, 'RELACIONADA_A', 'saindo', '', NULL FROM far""")
+def neighbors_depth2(spark, sf_dir):
+    return graph.neighbours(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "customer:1", depth=2)
+
+
+@query(f"""WITH RECURSIVE {_NODES}, flat AS (SELECT source_key AS a, target_key AS b FROM edges UNION SELECT target_key, source_key FROM edges),
+walk AS (SELECT 'supplier:1' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM walk JOIN flat ON node = a WHERE hops < 4 AND node <> 'customer:1')
+SELECT min(hops)::INTEGER AS hops, 'supplier:1' AS source, 'customer:1' AS target FROM walk WHERE node = 'customer:1' HAVING min(hops) IS NOT NULL""")
+def shortest_path(spark, sf_dir):
+    found = graph.shortest_path(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "supplier:1", "customer:1", avoid_types=())
+    return found.select("hops", F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("target"))
+
+
+@query("SELECT 0::INTEGER AS hops, '' AS source, '' AS target WHERE false")
+def shortest_path_hubs_barred(spark, sf_dir):
+    """A supplier and a customer meet in places only, and those can't be passed."""
+    found = graph.shortest_path(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "supplier:1", "customer:1")
+    return found.select("hops", F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("target"))
+
+
+@query(f"WITH {_NODES} SELECT source_key, target_key, type, arg_min(evidence, (chunk_id, evidence)) AS evidence, count(*)::BIGINT AS edges FROM edges GROUP BY 1, 2, 3")
+def graph_export_collapse(spark, sf_dir):
+    return graph.collapse_edges(inputs.graph_edges(spark, sf_dir))
+
+
+@query(f"""WITH {_NODES}, flat AS (SELECT DISTINCT source_key, target_key, type FROM edges), ends AS (SELECT source_key AS key FROM flat UNION ALL SELECT target_key FROM flat)
+SELECT key, name, type, degree FROM nodes JOIN (SELECT key, count(*)::BIGINT AS degree FROM ends GROUP BY 1) USING (key)""")
+def graph_degree(spark, sf_dir):
+    return graph.page(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir)).select("key", "name", "type", "degree")
+
+
+@query(f"WITH {_NODES} SELECT DISTINCT source_key, target_key, type, chunk_id, substring(evidence, 1, 500) AS evidence FROM edges WHERE source_key IN (SELECT key FROM nodes) AND target_key IN (SELECT key FROM nodes WHERE type <> 'Produto')")
+def edge_upsert_dedup(spark, sf_dir):
+    nodes = inputs.graph_nodes(spark, sf_dir)
+    edges = inputs.graph_edges(spark, sf_dir)
+    return store.upsert_edges(edges.filter("type = 'LOCALIZADA_EM'"), edges, nodes.filter("type <> 'Produto'"))
+
+
+@query("""SELECT 'region:' || r_regionkey AS key, r_name AS name, 'Lugar' AS type, 7::BIGINT AS mentions FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'Lugar', 1 FROM nation
+UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'Organizacao', 1 FROM supplier UNION ALL SELECT 'customer:' || c_custkey, c_name, 'Organizacao', 1 FROM customer UNION ALL SELECT 'part:' || p_partkey, p_name, 'Produto', 1 FROM part""")
+def node_upsert(spark, sf_dir):
+    nodes = inputs.graph_nodes(spark, sf_dir)
+    return store.upsert_nodes(nodes, nodes.filter("key LIKE 'region:%'").withColumn("mentions", F.lit(7).cast("long")))
+
+
+# ---- ingest -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH existing AS (SELECT source, doc_id::VARCHAR AS external_id, sha256(text) AS h FROM documents),
+incoming AS (SELECT source, doc_id::VARCHAR AS external_id, sha256(CASE WHEN lang = 'fr' THEN upper(lang) || text ELSE text END) AS h FROM documents UNION ALL SELECT 'benchmark', item_id::VARCHAR, sha256(text) FROM benchmark)
+SELECT source, external_id, i.h AS content_hash, CASE WHEN e.h IS NULL THEN 'inserted' WHEN e.h = i.h THEN 'unchanged' ELSE 'updated' END AS status FROM incoming i LEFT JOIN existing e USING (source, external_id)""")
+def doc_upsert(spark, sf_dir):
+    docs = inputs.read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("external_id"), F.col("text").alias("content"), "lang")
+    existing = docs.select(F.col("external_id").alias("id"), "source", "external_id", "content", text.content_hash(F.col("content")).alias("content_hash"))
+    changed = docs.withColumn("content", F.when(F.col("lang") == "fr", F.concat(F.upper("lang"), F.col("content"))).otherwise(F.col("content"))).drop("lang")
+    added = inputs.read(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").cast("string").alias("external_id"), F.col("text").alias("content"))
+    return store.upsert_documents(existing, changed.unionByName(added)).select("source", "external_id", "content_hash", "status")
+
+
+@query("SELECT doc_id AS document_id, CASE WHEN lang = 'de' THEN upper(source) ELSE source END AS section_path FROM documents")
+def chunk_replace(spark, sf_dir):
+    docs = inputs.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("section_path"), "lang")
+    return store.replace_chunks(docs.drop("lang"), docs.filter("lang = 'de'").select("document_id", F.upper("section_path").alias("section_path")))
+
+
+@query(f"WITH {_MENTIONS} SELECT entity_key, chunk_id FROM mentions")
+def mention_distinct(spark, sf_dir):
+    return inputs.mentions(spark, sf_dir)
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT doc_id, sha256('v3|rules|' || text) AS fingerprint FROM documents")
+def extraction_fingerprint(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("text"), "rules", "v3").alias("fingerprint"))
+
+
+@query("SELECT doc_id, sha256('v3|rules|' || text) AS fingerprint FROM documents WHERE sha256('v3|rules|' || text) NOT IN (SELECT sha256('v3|rules|' || text) FROM documents WHERE lang = 'en')")
+def cache_misses(spark, sf_dir):
+    docs = inputs.read(spark, sf_dir, "documents").select("doc_id", "lang", text.fingerprint(F.col("text"), "rules", "v3").alias("fingerprint"))
+    return docs.join(docs.filter("lang = 'en'").select("fingerprint").distinct(), "fingerprint", "left_anti").select("doc_id", "fingerprint")
+
+
+@query("SELECT (SELECT count(*) FROM documents)::BIGINT AS documents, (SELECT count(*) FROM documents)::BIGINT AS chunks, (SELECT count(*) FROM documents JOIN embeddings ON doc_id = vec_id)::BIGINT AS embedded_chunks")
+def scalar_counts(spark, sf_dir):
+    chunks = inputs.chunks(spark, sf_dir)
+    return chunks.agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("chunks"), F.count("embedding").alias("embedded_chunks"))
+
+
+@query("SELECT s_suppkey, 's_suppkey: ' || s_suppkey || '; s_name: ' || s_name || '; s_nationkey: ' || s_nationkey AS sentence FROM supplier")
+def row_sentences(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "supplier").select("s_suppkey", text.row_sentence("s_suppkey", "s_name", "s_nationkey").alias("sentence"))
+
+
+@query("SELECT page_id, coalesce(regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '(^|\\.)example\\.(com|org)$'), false) AS allowed FROM pages")
+def host_allow(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "pages").select("page_id", text.host_allowed(F.col("url"), ("example.com", "example.org")).alias("allowed"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    docs = inputs.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("doc_id").alias("external_id"), F.col("text").alias("content"))
+    return chunking.chunk_documents(docs).select("chunk_id", "document_id", "ordinal", "section_path", "char_count")
+
+
+@query()
+def embed_chunks(spark, sf_dir):
+    chunks = inputs.plain_chunks(spark, sf_dir)
+    return chunks.select("chunk_id", providers.embed(F.col("content"), providers.HashEmbedder()).alias("embedding"))
+
+
+@query()
+def extract_entities(spark, sf_dir):
+    chunks = inputs.plain_chunks(spark, sf_dir).withColumn("title", F.lit(""))
+    return providers.extract(chunks, providers.RuleExtractor())
+
+
+# ---- names --------------------------------------------------------------------------------------------------------
+
+_FIRST = "string_split(text, chr(10))[1]"
+_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(strip_accents({}))), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\b(s\s*a|sa|ltda|s\s*/\s*a|inc|corp|corporation|company|cia)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("SELECT s_suppkey AS id, " + _KEY.format("s_name || ' S/A'") + " AS key FROM supplier UNION ALL SELECT p_partkey, " + _KEY.format("p_name || ', Inc. & Cia'") + " FROM part")
+def normalize_names(spark, sf_dir):
+    s = inputs.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.name_key(F.concat("s_name", F.lit(" S/A"))).alias("key"))
+    p = inputs.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.name_key(F.concat("p_name", F.lit(", Inc. & Cia"))).alias("key"))
+    return s.unionByName(p)
+
+
+@query("SELECT p_partkey, upper(array_to_string(list_transform(list_filter(string_split(" + _KEY.format("p_name") + ", ' '), lambda w: w <> '' AND w NOT IN ('de','da','do','das','dos','e','em','para','a','o')), lambda w: w[1]), '')) AS acronym, regexp_full_match(trim(p_brand), '[A-Z][A-Z0-9]{1,7}') AS is_acronym FROM part")
+def acronyms(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "part").select("p_partkey", text.acronym(F.col("p_name")).alias("acronym"), text.looks_like_acronym(F.col("p_brand")).alias("is_acronym"))
+
+
+@query(r"SELECT c_custkey, trim(trim(regexp_replace(regexp_replace(lower(c_name) || ' ', ' (holding|global|foods|banco|cia|companhia|energia) ', ' ', 'g'), '\s+', ' ', 'g')), ' .,-/') AS short_name FROM customer")
+def short_names(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "customer").select("c_custkey", text.short_name(F.concat("c_name", F.lit(" Holding S.A."))).alias("short_name"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(strip_accents(text)), 'etre')")
+def fold_match(spark, sf_dir):
+    return inputs.read(spark, sf_dir, "documents").filter(text.fold(F.col("text")).contains("etre")).select("doc_id")
+
+
+_SPELLED = "spelled AS (SELECT CASE WHEN p_size % 3 = 0 THEN upper(p_brand) WHEN p_size % 3 = 1 THEN p_brand || ' Ltda' ELSE lower(p_brand) END AS name, CASE WHEN p_size % 2 = 0 THEN 'Outro' WHEN p_size % 5 = 0 THEN 'Setor' ELSE 'Produto' END AS type, p_partkey AS seq FROM part), keyed AS (SELECT *, " + _KEY.format("name") + " AS key FROM spelled)"
+
+
+def _spelled(spark, sf_dir):
+    name = F.when(F.col("p_size") % 3 == 0, F.upper("p_brand")).when(F.col("p_size") % 3 == 1, F.concat("p_brand", F.lit(" Ltda"))).otherwise(F.lower("p_brand"))
+    kind = F.when(F.col("p_size") % 2 == 0, "Outro").when(F.col("p_size") % 5 == 0, "Setor").otherwise("Produto")
+    return inputs.read(spark, sf_dir, "part").select(name.alias("name"), kind.alias("type"), F.col("p_partkey").alias("seq"))
+
+
+@query(f"""WITH {_SPELLED}, names AS (SELECT key, name, count(*) AS n, min(seq) AS first FROM keyed GROUP BY 1, 2), types AS (SELECT key, type, count(*) AS n, min(seq) AS first FROM keyed GROUP BY 1, 2),
+top_name AS (SELECT key, name FROM names QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, length(name) DESC, first) = 1), top_type AS (SELECT key, type FROM types QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, (type <> 'Outro') DESC, first) = 1)
+SELECT key, t.name, y.type, array_to_string(list_sort(list(n.name) FILTER (WHERE n.name <> t.name)), '|') AS aliases, sum(n.n)::BIGINT AS mentions FROM names n JOIN top_name t USING (key) JOIN top_type y USING (key) GROUP BY ALL""")
+def entity_cluster(spark, sf_dir):
+    found = resolution.nodes(resolution.variants(_spelled(spark, sf_dir)))
+    return found.withColumn("aliases", F.when(F.size("aliases") > 0, F.array_join("aliases", "|")))
+
+
+@query()
+def acronym_merge(spark, sf_dir):
+    p = inputs.read(spark, sf_dir, "part")
+    names = p.select(F.col("p_name").alias("name"), F.lit("Produto").alias("type"), F.col("p_partkey").alias("seq"))
+    short = p.select(text.acronym(F.col("p_name")).alias("name"), F.lit("Outro").alias("type"), (F.col("p_partkey") + 1_000_000_000).alias("seq"))
+    return resolution.resolve(names.unionByName(short)).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query(f"""WITH rel AS (SELECT 'Supplier#' || l_suppkey AS source, CASE WHEN l_linenumber = 7 THEN 'Supplier#' || l_suppkey ELSE 'Part ' || l_partkey END AS target, l_orderkey AS chunk_id FROM lineitem),
+known AS (SELECT DISTINCT 'supplier ' || s_suppkey AS key FROM supplier UNION SELECT 'part ' || p_partkey FROM part WHERE p_size <= 25)
+SELECT dropped, count(*)::BIGINT AS edges FROM (SELECT replace(lower(source), '#', ' ') NOT IN (SELECT key FROM known) OR replace(lower(target), '#', ' ') NOT IN (SELECT key FROM known) OR source = target AS dropped FROM rel) GROUP BY 1""")
+def edge_rewrite(spark, sf_dir):
+    line, parts, suppliers = (inputs.read(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
+    source = F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string"))
+    relations = line.select(source.alias("source"), F.when(F.col("l_linenumber") == 7, source).otherwise(F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))).alias("target"), F.lit("FORNECE_PARA").alias("type"), F.col("l_orderkey").alias("chunk_id"), F.lit("").alias("evidence"))
+    names = suppliers.select(F.concat(F.lit("Supplier#"), F.col("s_suppkey").cast("string")).alias("name")).unionByName(parts.filter("p_size <= 25").select(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("name")))
+    nodes = names.select(text.name_key(F.col("name")).alias("key"), "name", F.lit("Outro").alias("type"), F.array().cast("array<string>").alias("aliases"), F.lit(1).cast("long").alias("mentions"))
+    return resolution.rewrite_edges(nodes, relations).groupBy("dropped").agg(F.count("*").alias("edges"))
+
+
+# ---- questions and answers ----------------------------------------------------------------------------------------
+
+_ASK = "CASE turn % 6 WHEN 0 THEN 'Quais empresas ' WHEN 1 THEN 'Qual a ligacao entre ' WHEN 2 THEN 'Onde fica ' WHEN 3 THEN 'As concessoes envolvidas na operacao da ' WHEN 4 THEN 'Qual o valor da incorporacao de ' ELSE 'Resuma ' END || substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40)"
+
+
+def _asked(spark, sf_dir):
+    starts = ["Quais empresas ", "Qual a ligacao entre ", "Onde fica ", "As concessoes envolvidas na operacao da ", "Qual o valor da incorporacao de "]
+    head = F.lit("Resuma ")
+    for i, s in reversed(list(enumerate(starts))):
+        head = F.when(F.col("turn") % 6 == i, s).otherwise(head)
+    rows = inputs.read(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.concat(head, F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)).alias("text"))
+
+
+_KIND = r"CASE WHEN regexp_matches(q, '(?i)\b(liga[cç][aã]o|rela[cç][aã]o|conex[aã]o|entre|v[ií]nculo|depend[eê]|fornece|controla|adquiriu|mesma|mesmo)\b') OR regexp_matches(q, '(?i)\b(envolvid[ao]s?|envolvendo|participante|resultante|decorrente|referid[ao]s?)\b|\b(opera[cç][aã]o|transa[cç][aã]o|aquisi[cç][aã]o|incorpora[cç][aã]o|fus[aã]o|neg[oó]cio|contrato)\s+(d[ao]s?|envolvendo|entre|com)\b|\bque\s+(a|o|foi|foram|fez|fizeram|comprou|vendeu|adquiriu)\b') THEN 'relacional' WHEN regexp_matches(q, '(?i)\b(quais|liste|lista|resuma|resumo|panorama|todos|todas|principais)\b') THEN 'sintese' ELSE 'factual' END"
+
+
+@query(f"""SELECT conv_id, turn, kind, CASE kind WHEN 'factual' THEN 4 WHEN 'relacional' THEN 6 ELSE 10 END::INTEGER AS "limit", CASE kind WHEN 'factual' THEN 0.2 WHEN 'relacional' THEN 1.0 ELSE 0.6 END::DOUBLE AS graph_weight, kind <> 'sintese' AS rerank
+FROM (SELECT conv_id, turn, {_KIND} AS kind FROM (SELECT conv_id, turn, {_ASK} AS q FROM conversations))""")
+def route_classify(spark, sf_dir):
+    return agent.routed(_asked(spark, sf_dir)).select("conv_id", "turn", "kind", "limit", "graph_weight", "rerank")
+
+
+@query(f"""SELECT kind, count(*) FILTER (WHERE route = 'factual')::BIGINT AS factual, count(*) FILTER (WHERE route = 'relacional')::BIGINT AS relacional, count(*) FILTER (WHERE route = 'sintese')::BIGINT AS sintese
+FROM (SELECT turn % 6 AS kind, {_KIND} AS route FROM (SELECT turn, {_ASK} AS q FROM conversations)) GROUP BY 1""")
+def router_confusion(spark, sf_dir):
+    rows = _asked(spark, sf_dir).select((F.col("turn") % 6).alias("kind"), agent.route(F.col("text")).alias("route"))
+    return evaluate.confusion(rows)
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[2:], lambda w: regexp_matches(w, '^\\p{Lu}') AND length(w) > 2), lambda w: trim(w, '.,?!;:')), '|') AS nouns FROM conversations WHERE text IS NOT NULL""")
+def proper_nouns(spark, sf_dir):
+    rows = inputs.read(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", text.proper_nouns(F.col("text")).alias("n"))
+    return rows.select("conv_id", "turn", F.array_join("n", "|").alias("nouns"))
+
+
+_SAID = "regexp_replace(text, '[\\[\\]]', '', 'g') || CASE turn % 3 WHEN 0 THEN ' [1] e  [9]' WHEN 1 THEN ' [2][1][2]' ELSE '' END"
+
+
+@query(f"""WITH said AS (SELECT conv_id, turn, {_SAID} AS a FROM conversations) SELECT conv_id, turn, trim(regexp_replace(replace(a, '[9]', ''), '\\s{{2,}}', ' ', 'g')) AS text,
+CASE turn % 3 WHEN 0 THEN 's1' WHEN 1 THEN 's1|s2' ELSE '' END AS sources, turn % 3 <> 2 AS grounded, CASE turn % 3 WHEN 0 THEN 'o modelo citou fonte(s) inexistente(s): [9]; removidas da resposta' WHEN 1 THEN NULL ELSE '{fixed.UNCITED_WARNING}' END AS warning FROM said""")
+def citation_validate(spark, sf_dir):
+    tail = F.when(F.col("turn") % 3 == 0, " [1] e  [9]").when(F.col("turn") % 3 == 1, " [2][1][2]").otherwise("")
+    rows = inputs.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.regexp_replace("text", r"[\[\]]", ""), tail).alias("answer"), F.array(F.lit("s1"), F.lit("s2"), F.lit("s3")).alias("citations"))
+    return agent.checked(rows).select("conv_id", "turn", "text", F.array_join("sources", "|").alias("sources"), "grounded", "warning")
+
+
+@query(f"""WITH {_VECTOR} SELECT string_agg('[' || rank || '] (doc ' || doc_id || ' > ' || source || ')' || chr(10) || substring(text, 1, 1200), chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INTEGER AS n FROM vec_top JOIN documents ON doc_id = chunk_id WHERE rank <= 5""")
+def context_render(spark, sf_dir):
+    hits = retrieval.with_payload(_vector_hits(spark, sf_dir).filter("rank <= 5"), inputs.chunks(spark, sf_dir), inputs.documents(spark, sf_dir))
+    return agent.render_context(hits).select("context", "n")
+
+
+# ---- evaluation ---------------------------------------------------------------------------------------------------
+
+_JUDGED = """hits AS (SELECT q.vec_id AS query_id, q.label AS kind, e.label AS label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+judged AS (SELECT query_id, any_value(kind) AS kind, 2 AS expected, (count(*) FILTER (WHERE label = kind) > 0)::INTEGER + (count(*) FILTER (WHERE label = (kind + 1) % 10) > 0)::INTEGER AS found, min(CASE WHEN label = kind OR label = (kind + 1) % 10 THEN rank END) AS rank FROM hits WHERE rank <= 5 GROUP BY 1)"""
+
+
+def _judged(spark, sf_dir):
+    """Anchors are labels: a question's own and the next; a chunk's content is its label."""
+    labels = inputs.read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    tag = lambda c: F.concat(F.lit("<"), c.cast("string"), F.lit(">"))
+    q = labels.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("kind"), F.array(tag(F.col("label")), tag((F.col("label") + 1) % 10)).alias("anchors"))
+    hits = retrieval.vector_search(inputs.vectors(spark, sf_dir), inputs.vector_questions(spark, sf_dir), 5)
+    return evaluate.judge(q, hits.join(labels, hits["chunk_id"] == labels["vec_id"]).select("query_id", "rank", tag(F.col("label")).alias("content")))
+
+
+@query(f"WITH {_JUDGED} SELECT query_id, found::INTEGER AS found, rank::INTEGER AS rank FROM judged")
+def anchor_ranks(spark, sf_dir):
+    return _judged(spark, sf_dir).select("query_id", F.col("found").cast("int").alias("found"), "rank")
+
+
+@query(f"WITH {_JUDGED} SELECT coalesce(kind::VARCHAR, 'all') AS kind, count(*)::BIGINT AS questions, round(avg(found / 2.0::DOUBLE), 9) AS recall, round(avg((found > 0)::INTEGER::DOUBLE), 9) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM judged GROUP BY ROLLUP (kind)")
+def context_recall(spark, sf_dir):
+    return _rounded(evaluate.metrics(_judged(spark, sf_dir)), "recall", "hit_rate", "mrr", digits=9).withColumn("kind", F.coalesce(F.col("kind").cast("string"), F.lit("all")))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS case_id, l_returnflag AS item FROM lineitem), f AS (SELECT DISTINCT l_orderkey AS case_id, l_linestatus AS item FROM lineitem), s AS (SELECT case_id, count(e.item) AS e, count(f.item) AS f, count(*) FILTER (WHERE e.item IS NOT NULL AND f.item IS NOT NULL) AS b FROM e FULL JOIN f USING (case_id, item) GROUP BY 1)
+SELECT case_id, round(b / f::DOUBLE, 9) AS precision, round(b / e::DOUBLE, 9) AS recall, round(CASE WHEN b = 0 THEN 0 ELSE 2 * (b / f::DOUBLE) * (b / e::DOUBLE) / (b / f::DOUBLE + b / e::DOUBLE) END, 9) AS f1 FROM s""")
+def prf(spark, sf_dir):
+    line = inputs.read(spark, sf_dir, "lineitem")
+    found = resolution.evaluate_extraction(line.select(F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("item")), line.select(F.col("l_orderkey").alias("case_id"), F.col("l_linestatus").alias("item")))
+    return _rounded(found, "precision", "recall", "f1", digits=9)
+
+
+_PAIRS = "asked AS (SELECT item_id AS query_id, lower(strip_accents(substring(text, 1, 12))) AS a, lower(strip_accents(substring(text, length(text) - 7, 8))) AS b FROM benchmark)"
+
+
+@query(f"WITH {_PAIRS}, bodies AS (SELECT lower(strip_accents(text)) AS body FROM documents) SELECT query_id FROM asked JOIN bodies ON contains(body, a) GROUP BY 1 HAVING NOT bool_or(contains(body, b))")
+def multihop_filter(spark, sf_dir):
+    q = inputs.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("anchor"), F.expr("substring(text, length(text) - 7, 8)").alias("bridge"))
+    return evaluate.multihop_valid(q, inputs.plain_chunks(spark, sf_dir)).select("query_id")
+
+
+# ---- corpus -------------------------------------------------------------------------------------------------------
+
+
+def _facts(spark, sf_dir):
+    orders, customers = inputs.read(spark, sf_dir, "orders"), inputs.read(spark, sf_dir, "customer")
+    other = customers.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("other"))
+    rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(other, F.col("k") == F.col("o_orderkey") % 97 + 1)
+    subject = F.concat(F.when(F.col("o_orderstatus") == "O", "Aquisição de ").otherwise("Aviso "), F.col("other"))
+    return corpus.facts(rows.select(F.col("c_name").alias("company"), subject.alias("subject"), F.lit(fixed.FILING_CATEGORIES[0]).alias("category"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("protocol")))
+
+
+@query("""WITH f AS (SELECT c.c_name AS company, x.c_name AS other, o_orderkey AS seq FROM orders JOIN customer c ON o_custkey = c.c_custkey JOIN customer x ON x.c_custkey = o_orderkey % 97 + 1 WHERE o_orderstatus = 'O')
+SELECT company AS citing, other AS cited, count(*)::BIGINT AS filings FROM f WHERE company <> other AND other IN (SELECT company FROM f) GROUP BY 1, 2""")
+def cocitation_pairs(spark, sf_dir):
+    return corpus.citation_pairs(_facts(spark, sf_dir)).groupBy("citing", "cited").agg(F.count("*").alias("filings"))
