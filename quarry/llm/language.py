@@ -192,6 +192,6 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents whose language was identified, with their own columns. A repeated id is kept if any of its rows was identified."""
+    """Documents whose language was identified, with their own columns. A repeated (or null) id is kept if any of its rows was identified."""
     kept = materialize(identify(docs).filter(F.col("lang_pred") != NONE).select(F.col("doc_id").alias("_kept")).distinct(), "identified")
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
