@@ -79,12 +79,12 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 values = np.frombuffer(row.counts, "<i8")
-                if held and held[:2] == (row.lang, row.slice):
+                if held and held[:2] == [row.lang, row.slice]:
                     held[2] += values
                 else:
                     if held:
                         yield pd.DataFrame([(*held[:2], held[2].tobytes())], columns=["lang", "slice", "counts"])
-                    held = (row.lang, row.slice, values.copy())
+                    held = [row.lang, row.slice, values.copy()]
         if held:
             yield pd.DataFrame([(*held[:2], held[2].tobytes())], columns=["lang", "slice", "counts"])
 

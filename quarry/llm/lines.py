@@ -46,13 +46,15 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     A null text stays null; a null host is a host of its own; blank lines are kept; repeated rows are pages each; an empty
     table stays empty. All other columns pass through.
     """
-    bad = materialize(boilerplate(docs, docs[host_col], text_col, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_bad")), "boilerplate")
+    bad = materialize(boilerplate(docs, docs[host_col], text_col, ratio, min_pages).select(F.col("host").alias("at"), F.col("lines").alias("bad")), "boilerplate")
     small = size_mb(bad) <= BROADCAST_MB
-    joined = docs.join(F.broadcast(bad) if small else bad, docs[host_col].eqNullSafe(bad["_host"]), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("_bad", _digest(x)))
-    joined = joined.withColumns({"_all": lines, "_kept": F.when(F.col("_bad").isNull(), lines).otherwise(kept)})
-    return joined.withColumns({text_col: F.array_join("_kept", "\n"), "_lines": F.coalesce(F.size("_all"), F.lit(0)), "_dropped": F.coalesce(F.size("_all") - F.size("_kept"), F.lit(0))}).drop("_host", "_bad", "_all", "_kept")
+    # the row as one column, so that none of its names meets those used here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host_col].alias("host"), F.split(docs[text_col], "\n").alias("lines"))
+    joined = rows.join(F.broadcast(bad) if small else bad, F.col("host").eqNullSafe(F.col("at")), "left")
+    kept = F.filter("lines", lambda x: ~F.array_contains("bad", _digest(x)))
+    joined = joined.select("row", "lines", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
+    own = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_dropped")]
+    return joined.select(*own, F.coalesce(F.size("lines"), F.lit(0)).alias("_lines"), F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias("_dropped"))
 
 
 LINE_SQL = """
@@ -79,7 +81,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 UNITS = "doc_id long, row long, start long, end long, words int, hi long, lo long"
 _UNIT = {
     "line": re.compile(r"[^\n]+"),
-    "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+"),
+    "paragraph": re.compile(r"\S(?:[^\n]|\n(?!\s*\n))*"),
     # a sentence ends at ., ! or ? before white space, and always at the end of its line
     "sentence": re.compile(r"[^\s](?:[^\n.!?]|[.!?](?!\s|\Z))*[.!?]?"),
 }

@@ -132,15 +132,14 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
         if start and text[start - 1].isalpha():
             continue
         end = start + re.compile(r"[A-Za-z]+(?: id)?", re.I).match(text, start).end() - start
+        near = []
         for kind, m in (("iban", _IBAN.search(text, end, end + 48)), ("ssn", _SSN.search(text, end, end + 24)), ("account", _ACCOUNT.match(text, end))):
-            if m is None or kind == "iban" and not iban_valid(m.group()):
-                continue
-            span = m.span(1) if kind == "account" else m.span()
-            if kind == "account" and not any(c.isdigit() for c in m.group(1)):
-                continue
-            if not any(a < span[1] and span[0] < b for k in ADDED for a, b in found[k]):
-                found[kind].append(span)
-            break
+            if m and (kind != "iban" or iban_valid(m.group())) and (kind != "account" or any(c.isdigit() for c in m.group(1))):
+                near.append((*m.span(1 if kind == "account" else 0), kind))
+        if near:  # the cue tells of what comes first
+            lo, hi, kind = min(near, key=lambda x: x[0])
+            if not any(a < hi and lo < b for k in ADDED for a, b in found[k]):
+                found[kind].append((lo, hi))
     return found
 
 

@@ -61,15 +61,28 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return nxt, out
 
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """The class of every code point, from the Unicode properties that the tokenizer's pattern names."""
+@lru_cache(2)
+def classes(path: str) -> np.ndarray:
+    """The class of every code point. Letters and numbers are those that the library's own pattern takes for such: its Unicode
+    version may be another than that of Python's modules."""
+    from tokenizers import Tokenizer
+
     table = np.full(0x110000, OTHER, np.uint8)
-    for pattern, c in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
-        find = regex.compile(pattern + "+")
-        for lo in range(0, 0x110000, 0x10000):
-            for m in find.finditer("".join(map(chr, range(lo, lo + 0x10000)))):
-                table[lo + m.start() : lo + m.end()] = c
+    named = regex.compile(r"[\p{L}\p{N}]")
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and named.match(chr(c))] + [c for c in range(0x80) if chr(c).isalnum()]
+    for lo in range(0, len(points), 20_000):
+        some = points[lo : lo + 20_000]
+        # of "ac!" a letter c gives "ac" and "!", a number "a", c and "!", anything else "a" and "c!"
+        lengths = [e - s for _, (s, e) in split(" ".join(f"a{chr(c)}!" for c in some))]
+        at = 0
+        for c in some:
+            n = 2 if lengths[at] == 2 or lengths[at + 1] == 2 else 3
+            table[c] = LETTER if lengths[at] == 2 else NUMBER if n == 3 else OTHER
+            at += n
+    for c in range(0x3001):
+        if regex.match(r"\s", chr(c)):
+            table[c] = SPACE
     table[[0x1C, 0x1D, 0x1E, 0x1F]] = OTHER  # white space to Python's modules only
     for c, chars in ((QUOTE, "'"), (ONE, "stmd"), (ERE, "rv"), (E_, "e"), (ELL, "l")):
         table[[ord(x) for x in chars]] = c
@@ -211,7 +224,7 @@ class Counter:
         self._special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self._transducer = Transducer(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
         self._known: dict[str, int] = {}
-        self._bound = words
+        self._bound, self._path = words, path
 
     @staticmethod
     def normal(text: str) -> str:
@@ -238,7 +251,7 @@ class Counter:
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(points):
             return total
-        kinds = classes()[points]
+        kinds = classes(self._path)[points]
         begins = boundaries(kinds)
         ends = np.append(begins[1:], len(points))
         # a pre-token ends before the white space that may follow it
