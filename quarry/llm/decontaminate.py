@@ -3,8 +3,8 @@
 Passages are blocks of words as TF-IDF rows over hashed terms. One pass over all documents sums, for each task, document
 frequencies and the sketch T'(T omega) of the count matrix T; the weights are applied to the sketch afterwards, and the
 Nystroem form of the randomised SVD turns it into term vectors in the latent space. A second pass projects overlapping windows, takes
-those with a high cosine to a window of a benchmark item, and holds the text around them against the item by longest common
-subsequence of words, with a check that the item's answer is there, too.
+those with a high cosine to a window of a benchmark item (and some uncommon terms in common with it), and holds the text around
+them against the item by longest common subsequence of words, with a check that the item's answer is there, too.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from quarry.llm._base import documents, materialize, size_mb, text_chunks
 
 TERMS = 1 << 14
-SKETCH, RANK = 112, 96
+SKETCH = 64
 BLOCK = 20
 #: Candidates have this cosine at least; matches this share of the item's words in order, or the lower share with the answer.
-COSINE, WHOLE, WITH_ANSWER = 0.33, 0.8, 0.6
+COSINE, WHOLE, WITH_ANSWER = 0.22, 0.8, 0.6
+#: Terms of more passages than this share are common; candidates share so much of a probe's other terms.
+COMMON, SHARED = 0.02, 0.4
 ANSWER_WORDS = 8
 #: Benchmark items that are held at a time; more are searched in further passes.
 ITEMS = 2000
@@ -69,18 +71,25 @@ def terms(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64)
 
 
-def blocks(ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, document) of the blocks of so many words; a document's last block may be shorter."""
+def blocks(h: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of so many words; a document's last may be shorter. (first word, document) of each, then its distinct terms:
+    (block, term) of each entry and where a block's entries begin. Terms count once in a block, so a word that is repeated over and over
+    weighs no more than others.
+    """
     begins = np.concatenate([[0], ends[:-1]])
     n = -(-(ends - begins) // size)
     doc = np.repeat(np.arange(len(ends)), n)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    return begins[doc] + k * size, doc
+    first = begins[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * size
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    entry = np.sort(of * TERMS + terms(h))
+    entry = entry[np.concatenate([[True], entry[1:] != entry[:-1]])] if len(entry) else entry
+    return first, doc, entry // TERMS, entry % TERMS, np.searchsorted(entry, np.arange(len(first)) * TERMS)
 
 
 def omega() -> np.ndarray:
+    """The test matrix, a row for each column of the sketch: sums over segments run along rows."""
     if "omega" not in _held:
-        _held["omega"] = np.random.default_rng(7).standard_normal((TERMS, SKETCH)).astype(np.float32)
+        _held["omega"] = np.random.default_rng(7).standard_normal((SKETCH, TERMS)).astype(np.float32)
     return _held["omega"]
 
 
@@ -88,23 +97,20 @@ def sketch(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """(passages, document frequency, T'(T omega)) over all passages of all documents, summed in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test, z, df, passages = omega(), np.zeros((TERMS, SKETCH), np.float32), np.zeros(TERMS, np.int64), 0
-        for _, texts in text_chunks(batches, 500_000):
+        test, z, df, passages = omega(), np.zeros((SKETCH, TERMS), np.float32), np.zeros(TERMS, np.int64), 0
+        for _, texts in text_chunks(batches, 1_000_000):
             h, ends = words(texts)
             if not len(h):
                 continue
-            term = terms(h)
-            first, _ = blocks(ends, 2 * BLOCK)
-            y = np.add.reduceat(test[term], first)
-            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            first, _, block, term, starts = blocks(h, ends, 2 * BLOCK)
+            y = np.add.reduceat(test[:, term], starts, axis=1)
             order = np.argsort(term.astype(np.uint16), kind="stable")
-            t, p = term[order], of[order]
-            new = np.concatenate([[True], t[1:] != t[:-1]])
-            at = np.flatnonzero(new)
-            z[t[at]] += np.add.reduceat(y[p], at)
-            df += np.bincount(t[new | np.concatenate([[True], p[1:] != p[:-1]])], minlength=TERMS)
+            t = term[order]
+            at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            z[:, t[at]] += np.add.reduceat(y[:, block[order]], at, axis=1)
+            df += np.bincount(term, minlength=TERMS)
             passages += len(first)
-        zs, dfs = z.reshape(SLICES, -1), df.reshape(SLICES, -1)
+        zs, dfs = np.ascontiguousarray(z.T).reshape(SLICES, -1), df.reshape(SLICES, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([passages] * SLICES, pa.int64()), pa.array([x.tobytes() for x in dfs], pa.binary()), pa.array([x.tobytes() for x in zs], pa.binary())], names=["slice", "passages", "df", "z"])
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,8 +137,8 @@ def latent(n: int, df: np.ndarray, z: np.ndarray) -> np.ndarray:
 
     With A = T diag(idf), diag(idf) z is A'A times the test matrix omega / idf; Nystroem gives the leading right singular vectors.
     """
-    idf = np.log((n + 1) / (df + 0.5)).clip(1e-3)
-    test = omega().astype(np.float64) / idf[:, None]
+    idf = np.sqrt((n + 1) / (df + 0.5))
+    test = omega().T.astype(np.float64) / idf[:, None]
     y = z.astype(np.float64) * idf[:, None]
     shift = 1e-7 * (np.linalg.norm(y) + 1e-9)
     y += shift * test
@@ -140,23 +146,29 @@ def latent(n: int, df: np.ndarray, z: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > values[-1] * 1e-10
     u, s, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
-    u, s = u[:, :RANK], np.maximum(s[:RANK], 1e-6)
+    s = np.maximum(s, 1e-6)
     return (idf[:, None] * u / s).astype(np.float32)
 
 
-def project(h: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, first word, document) of windows of two blocks, one beginning at each block; a short document is one window."""
-    first, doc = blocks(ends, BLOCK)
-    if not len(first):
-        return np.zeros((0, table.shape[1]), np.float32), first, doc
-    x = np.add.reduceat(table[terms(h)], first)
+def project(h: np.ndarray, ends: np.ndarray, table: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(unit vectors, signatures, first word, document) of windows of two blocks, one beginning at each block; a short document is one window.
+
+    A signature has a bit for each uncommon term, of 256.
+    """
+    if not len(h):
+        return np.zeros((0, table.shape[1]), np.float32), np.zeros((0, 4), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, doc, _, term, starts = blocks(h, ends, BLOCK)
+    x = np.add.reduceat(np.ascontiguousarray(table.T)[:, term], starts, axis=1).T
+    bit = np.where(common[term], np.uint64(0), np.uint64(1) << (term & 63).astype(np.uint64))
+    bits = np.stack([np.bitwise_or.reduceat(np.where(term >> 6 & 3 == k, bit, np.uint64(0)), starts) for k in range(4)], axis=1)
     more = np.concatenate([doc[1:] == doc[:-1], [False]])
     lone = ~more & np.concatenate([[True], doc[1:] != doc[:-1]])
-    windows = x.copy()
+    windows, marks = x.copy(), bits.copy()
     windows[more] += x[1:][more[:-1]]
+    marks[more] |= bits[1:][more[:-1]]
     use = more | lone
     norm = np.linalg.norm(windows[use], axis=1, keepdims=True)
-    return windows[use] / np.maximum(norm, 1e-12), first[use], doc[use]
+    return windows[use] / np.maximum(norm, 1e-12), marks[use], first[use], doc[use]
 
 
 class Item:
@@ -200,7 +212,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
     """
     spark = docs.sparkSession
     n, df, z = sketch(docs)
-    table = latent(n, df, z)
+    table, common = latent(n, df, z), df > COMMON * n
     wanted = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[text_col].cast("string").alias("text"), (benchmark[answer_col].cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
     found, held = None, []
 
@@ -213,20 +225,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
                 mine = h[ends[i - 1] if i else 0 : ends[i]]
                 answer = a[a_ends[i - 1] if i else 0 : a_ends[i]]
                 own.append(Item(r[0], mine, answer if len(answer) else mine[-ANSWER_WORDS:]))
-            probes, _, item_of = project(h, ends, table)
+            probes, marks, _, item_of = project(h, ends, table, common)
             for ids, texts in text_chunks(batches, 500_000):
-                yield from _search(ids, texts, own, probes, item_of)
+                yield from _search(ids, texts, own, probes, marks, item_of)
 
         return documents(docs).mapInArrow(run, MATCHES)
 
-    def _search(ids, texts, own, probes, item_of):
+    def _search(ids, texts, own, probes, marks, item_of):
         h, ends = words(texts)
-        x, first, doc = project(h, ends, table)
+        x, signs, first, doc = project(h, ends, table, common)
+        least = SHARED * np.bitwise_count(marks).sum(axis=1)
         begins = np.concatenate([[0], ends[:-1]])
         best: dict[tuple[int, int], tuple] = {}
         for lo in range(0, len(x), 8192):
             cosine = x[lo : lo + 8192] @ probes.T
-            for w, p in np.argwhere(cosine >= COSINE):
+            near = np.argwhere(cosine >= COSINE)
+            shared = np.bitwise_count(signs[lo + near[:, 0]] & marks[near[:, 1]]).sum(axis=1)
+            for w, p in near[shared >= least[near[:, 1]]]:
                 d, item = int(doc[lo + w]), own[int(item_of[p])]
                 at = int(first[lo + w])
                 share, answer, a, b = item.best(h, max(int(begins[d]), at - item.size), min(int(ends[d]), at + 2 * BLOCK + item.size))
