@@ -59,34 +59,76 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _held["p"], _held["i"]
 
 
-_PLACE = np.uint64((1 << 28) - 1)  # the low bits of a key hold the place, so that the least key is the leftmost least hash
+#: The low bits of a key hold the place, so that the least key is the leftmost least hash. The top bit marks periodic grams.
+_PLACE, _PERIODIC = np.uint64((1 << 28) - 1), np.uint64(1 << 63)
+PERIOD = GRAM // 2
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that are the leftmost least in some window of length bytes."""
+def runs_of_period(data: np.ndarray, gram: int, most: int = PERIOD) -> list[tuple[int, int, int]]:
+    """(begin, end, period) of the maximal stretches that repeat themselves at a distance of at most ``most`` bytes, of a gram's length at least.
+
+    A sample of every fourth byte tells first whether there can be any.
+    """
+    out = []
+    for p in range(1, min(most, gram // 2) + 1):
+        if len(data) < gram:
+            break
+        some = data[:-p:4] == data[p::4]
+        need = max(1, (gram - p) // 4)  # so many neighbours of the sample fall into any such stretch
+        if need > 1:
+            width = 1
+            while width * 2 <= need and len(some) > width:
+                some = some[:-width] & some[width:]
+                width *= 2
+            if width < need and len(some) > need - width:
+                some = some[: -(need - width)] & some[need - width :]
+        if not some.any():
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (data[:-p] == data[p:]).astype(np.int8), [0]])))
+        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if hi - lo + p >= gram:
+                out.append((lo, hi + p, p))
+    return out
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(places, hashes) of the grams that are the leftmost least in some window of length bytes, and long periodic stretches.
+
+    A gram with a short period of its own comes after all others, so it is chosen only within long periodic stretches, and there
+    only for the strings of the first period: those after it repeat them, which the stretch itself says.
+    """
     if len(data) > 1 << 27:  # in blocks that share a window, so no window is missed
         half = 1 << 26
         parts = [anchors(data[i : i + half + length], length, gram) for i in range(0, len(data), half)]
-        places = np.concatenate([p + i * half for i, (p, _) in enumerate(parts)])
+        places = np.concatenate([p + i * half for i, (p, _, _) in enumerate(parts)])
         places, at = np.unique(places, return_index=True)
-        return places, np.concatenate([h for _, h in parts])[at]
+        return places, np.concatenate([h for _, h, _ in parts])[at], [(a + i * half, b + i * half, p) for i, (_, _, r) in enumerate(parts) for a, b, p in r]
     h = gram_hashes(data, gram)
     w = length - gram + 1
     n = len(h) - w + 1
     if n <= 0:
-        return np.zeros(0, np.int64), h[:0]
+        return np.zeros(0, np.int64), h[:0], []
+    stretches = runs_of_period(data, gram)
     rows = -(-len(h) // w)
     keys = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
-    keys[: len(h)] = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    keys[: len(h)] = ((h >> np.uint64(1)) & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    for lo, hi, _ in stretches:
+        keys[lo : hi - gram + 1] |= _PERIODIC
     grid = keys.reshape(rows, w)
     ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    places = (least[np.concatenate([[True], np.diff(least) != 0])] & _PLACE).astype(np.int64)
-    return places, h[places]
+    long = [(lo, hi, p) for lo, hi, p in stretches if hi - lo >= length + p]
+    if long:
+        told = np.zeros(n, bool)
+        for lo, hi, p in long:
+            told[lo + p : hi - length + 1] = True
+        least = least[~told]
+    places = np.unique((least[np.concatenate([[True], np.diff(least) != 0])] if len(least) else least) & _PLACE).astype(np.int64)
+    return places, h[places], long
 
 
-ANCHORS = "gram long, digest binary, at int"
+ANCHORS = "gram long, digest binary, at int, upto int, period int"
 CONTEXTS = "grp binary, rank long, digest binary, at int, lo int, hi int, lft binary, rgt binary"
 #: Ranks a text without an id after all others.
 LAST = (1 << 62)
@@ -97,21 +139,25 @@ def _batch(rows: list[tuple], kinds: tuple, names: str) -> pa.RecordBatch:
 
 
 def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each anchor of each text. texts: digest, body (binary)."""
+    """A row for each anchor of each text, and one without gram for each long periodic stretch. texts: digest, body (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, digests, at, held = [], [], [], 0
+            rows: list[list] = [[], [], [], [], []]
             for digest, body in zip(batch.column(0), batch.column(1)):
                 body = body.as_py()
                 if len(body) < length:
                     continue
-                places, h = anchors(np.frombuffer(body, np.uint8), length, gram)
-                grams.append(h.view(np.int64))
-                digests += [digest.as_py()] * len(places)
-                at.append(places.astype(np.int32))
-            if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(digests, pa.binary()), pa.array(np.concatenate(at))], names=["gram", "digest", "at"])
+                places, h, long = anchors(np.frombuffer(body, np.uint8), length, gram)
+                key = digest.as_py()
+                rows[0] += h.view(np.int64).tolist() + [None] * len(long)
+                rows[1] += [key] * (len(places) + len(long))
+                rows[2] += places.tolist() + [lo for lo, _, _ in long]
+                rows[3] += [None] * len(places) + [hi for _, hi, _ in long]
+                rows[4] += [None] * len(places) + [p for _, _, p in long]
+            if rows[0]:
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=[c.split()[0] for c in ANCHORS.split(", ")])
 
     return texts.mapInArrow(run, ANCHORS)
 
@@ -268,12 +314,16 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first
     rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
     groups = own.filter(F.length("body") >= length).select("digest", rank.alias("rank")).groupBy("digest").agg(F.min("rank").alias("rank"), F.count("*").alias("copies"))
     groups = materialize(groups, "texts")
-    found = materialize(find_anchors(own.select("digest", "body"), length, gram), "anchors")
+    every = materialize(find_anchors(own.select("digest", "body"), length, gram), "anchors")
+    found = every.filter("gram IS NOT NULL").select("gram", "digest", "at")
+    # the strings of a periodic stretch repeat within it; those of its first period are its earliest
+    begin = F.col("at") + (F.col("period") if keep_first else F.lit(0))
+    periodic = every.filter("gram IS NULL").select("digest", begin.alias("begin"), F.col("upto").alias("end")).distinct()
     place = F.struct("digest", "at")
     frequent = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter(F.col("a") != F.col("b")).select("gram", (F.col("n") > GROUP).alias("hot"))
     wanted = found.join(frequent, "gram").groupBy("digest").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("found")).join(groups.select("digest", "rank"), "digest")
     searched = own.select(own["digest"].alias("_digest"), rank.alias("_rank"), "body").join(wanted, (F.col("_digest") == F.col("digest")) & (F.col("_rank") == F.col("rank")))
-    spans = flagged(contexts(searched.select("digest", "rank", "body", "found"), length, gram), length).filter(F.col("later") == F.lit(keep_first))
+    spans = flagged(contexts(searched.select("digest", "rank", "body", "found"), length, gram), length).filter(F.col("later") == F.lit(keep_first)).select("digest", "begin", "end").unionByName(periodic)
     merged = spans.groupBy("digest").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     known = materialize(groups.join(merged, "digest", "left").filter("copies > 1 OR spans IS NOT NULL"), "spans")
     known = known.select(F.col("digest").alias("_digest"), "rank", "copies", "spans")
