@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 
+#: Questions that are broadcast at a time.
+QUESTION_BLOCK = 1000
+
 
 def judge(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, kind, found, expected, rank. questions: query_id, kind, anchors; hits: query_id, rank, content.
@@ -46,9 +49,14 @@ def multihop_valid(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Questions whose anchor stands somewhere, but in no chunk together with the bridge entity. questions: query_id, anchor, bridge."""
     q = questions.select("query_id", text.fold(F.col("anchor")).alias("a"), text.fold(F.col("bridge")).alias("b"))
     bodies = chunks.select(text.fold(F.col("content")).alias("body"))
-    met = bodies.join(F.broadcast(q), F.col("body").contains(F.col("a")))
-    ok = met.groupBy("query_id").agg(F.max(F.col("body").contains(F.col("b"))).alias("together")).filter("NOT together")
-    return questions.join(ok.select("query_id"), "query_id", "left_semi")
+    parts = max(1, -(-questions.count() // QUESTION_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    valid = None
+    for i in range(parts):  # containment has no key to join by, so the questions are broadcast in blocks of bounded size
+        met = bodies.join(F.broadcast(q.filter(block == i)), F.col("body").contains(F.col("a")))
+        ok = met.groupBy("query_id").agg(F.max(F.col("body").contains(F.col("b"))).alias("together")).filter("NOT together").select("query_id")
+        valid = ok if valid is None else valid.unionByName(ok)
+    return questions.join(valid, "query_id", "left_semi")
 
 
 def verdict(before: dict, after: dict) -> str:

@@ -36,16 +36,24 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.POOL) -> DataFrame:
     """Exact cosine search. chunks: chunk_id, embedding; queries: query_id, embedding.
 
-    The stated queries are packed into blocks; every block meets every row once, and its local best are kept before the shuffle.
-    Chunks without an embedding take no part.
+    The stated queries are packed into blocks of bounded size. One block is broadcast, so the rows aren't shuffled; several go
+    to every slice of the rows, which are dealt evenly. Each row meets a block once, and each slice's best are kept before the last
+    shuffle. Chunks without an embedding take no part.
     """
     unit = lambda v: F.transform(v, lambda x: x / _norm(v))
     q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     q = q.select("query_id", unit(F.col("v")).alias("q"))
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(1)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    rows = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).select("chunk_id", unit(F.col("v")).alias("v"), F.lit(0).cast("long").alias("block"))
-    met = rows.join(blocks, "block").select("chunk_id", "v", F.explode("queries").alias("x"))
-    scored = met.select("x.query_id", "chunk_id", F.aggregate(F.zip_with("v", "x.q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
+    rows = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).select("chunk_id", unit(F.col("v")).alias("v"))
+    few = _few(queries)
+    parts = 1 if few else -(-queries.count() // QUERY_BLOCK)
+    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
+    if few:
+        met = rows.crossJoin(F.broadcast(blocks))
+    else:
+        slices = 4 * queries.sparkSession.sparkContext.defaultParallelism
+        everywhere = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        met = rows.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")).join(everywhere, "slice")
+    scored = met.select("chunk_id", "v", F.explode("queries").alias("x")).select("x.query_id", "chunk_id", F.aggregate(F.zip_with("v", "x.q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
     return top(scored, limit).select(*HITS)
 
 

@@ -32,7 +32,9 @@ def test_weights_and_limits(spark):
         R.fuse([(a, 1.0)], k=0)
 
 
-def test_vector_search_agrees_with_single_question(spark):
+@pytest.mark.parametrize("block", [256, 1])
+def test_vector_search_agrees_with_single_question(spark, monkeypatch, block):
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
     rows = spark.createDataFrame([(i, [float(i % 3), 1.0 - i % 2, 0.5]) for i in range(20)] + [(99, None)], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0, 0.5]), (8, [0.0, 1.0, 0.0])], "query_id int, embedding array<float>")
     many = {(r.query_id, r.rank): r.chunk_id for r in R.vector_search(rows, q, 4).collect()}
