@@ -86,6 +86,14 @@ def blocks(h: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return first, doc, entry // TERMS, entry % TERMS, np.searchsorted(entry, np.arange(len(first)) * TERMS)
 
 
+def segment_sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """rows[:, index] summed over the segments that begin at starts; row by row, so that each stays in the cache."""
+    out = np.empty((len(rows), len(starts)), rows.dtype)
+    for row, into in zip(rows, out):
+        np.add.reduceat(row.take(index), starts, out=into)
+    return out
+
+
 def omega() -> np.ndarray:
     """The test matrix, a row for each column of the sketch: sums over segments run along rows."""
     if "omega" not in _held:
@@ -103,13 +111,15 @@ def sketch(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             if not len(h):
                 continue
             first, _, block, term, starts = blocks(h, ends, 2 * BLOCK)
-            y = np.add.reduceat(test[:, term], starts, axis=1)
+            y = segment_sums(test, term, starts)
             order = np.argsort(term.astype(np.uint16), kind="stable")
             t = term[order]
             at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            z[:, t[at]] += np.add.reduceat(y[:, block[order]], at, axis=1)
+            z[:, t[at]] += segment_sums(y, block[order], at)
             df += np.bincount(term, minlength=TERMS)
             passages += len(first)
+        if not passages:
+            return
         zs, dfs = np.ascontiguousarray(z.T).reshape(SLICES, -1), df.reshape(SLICES, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([passages] * SLICES, pa.int64()), pa.array([x.tobytes() for x in dfs], pa.binary()), pa.array([x.tobytes() for x in zs], pa.binary())], names=["slice", "passages", "df", "z"])
 
@@ -133,7 +143,7 @@ def sketch(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def latent(n: int, df: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Weighted term vectors: a passage's latent coordinates, scaled to equal variance, are the sum over its terms.
+    """Weighted term vectors as columns: a passage's latent coordinates, scaled to equal variance, are the sum over its terms.
 
     With A = T diag(idf), diag(idf) z is A'A times the test matrix omega / idf; Nystroem gives the leading right singular vectors.
     """
@@ -147,7 +157,7 @@ def latent(n: int, df: np.ndarray, z: np.ndarray) -> np.ndarray:
     keep = values > values[-1] * 1e-10
     u, s, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
     s = np.maximum(s, 1e-6)
-    return (idf[:, None] * u / s).astype(np.float32)
+    return np.ascontiguousarray((idf[:, None] * u / s).T.astype(np.float32))
 
 
 def project(h: np.ndarray, ends: np.ndarray, table: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,9 +166,9 @@ def project(h: np.ndarray, ends: np.ndarray, table: np.ndarray, common: np.ndarr
     A signature has a bit for each uncommon term, of 256.
     """
     if not len(h):
-        return np.zeros((0, table.shape[1]), np.float32), np.zeros((0, 4), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, len(table)), np.float32), np.zeros((0, 4), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, doc, _, term, starts = blocks(h, ends, BLOCK)
-    x = np.add.reduceat(np.ascontiguousarray(table.T)[:, term], starts, axis=1).T
+    x = np.ascontiguousarray(segment_sums(table, term, starts).T)
     bit = np.where(common[term], np.uint64(0), np.uint64(1) << (term & 63).astype(np.uint64))
     bits = np.stack([np.bitwise_or.reduceat(np.where(term >> 6 & 3 == k, bit, np.uint64(0)), starts) for k in range(4)], axis=1)
     more = np.concatenate([doc[1:] == doc[:-1], [False]])
