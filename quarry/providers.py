@@ -75,7 +75,7 @@ class RuleExtractor:
         entities, relations = {}, []
         for sentence in re.split(r"(?<=[.!?])\s+", content):
             found = list(self._NAME.finditer(sentence))
-            names = [m.group().strip(" .") for m in found]
+            names = [re.sub(r"^(?:As?|Os?|Uma?)\s+(?=\S)", "", m.group()).strip(" .") for m in found]
             for n in names:
                 entities.setdefault(n, {"name": n, "type": "Organizacao" if re.search(r"S\.?A|Cia|Banco|Ltda", n) else "Outro"})
             for (a, b), (s, t) in zip(zip(found, found[1:]), zip(names, names[1:])):
