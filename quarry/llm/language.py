@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import materialize, text_chunks
+from quarry.llm._base import text_chunks
 
 BUCKETS = 1 << 16
 SLICE = 1 << 10
@@ -142,18 +142,27 @@ def infer(texts: list[str], logs: np.ndarray, rounds: int = 8, penalty: float =
     return share, active, has
 
 
+def _learnt(own: DataFrame) -> tuple[list[str], np.ndarray, int]:
+    """(languages, log-probabilities, characters of a batch) from own: doc_id, text, lang, held_out."""
+    known = learn(own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~F.col("held_out")))
+    names = list(known)
+    logs = np.stack([known[n] for n in names]) if names else np.zeros((0, BUCKETS), np.float32)
+    return names, logs, max(100_000, 6_000_000 // max(4, len(names)))
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    out = F.coalesce(F.crc32(docs[id_col].cast("long").cast("string")) % 4 == 2, F.lit(False))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), out.alias("held_out"))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Language of every whole text, learnt from those documents with a label whose crc32(id) mod 4 is not 2.
 
     lang_pred is ``und`` with score 0 for a null text, one without letters, or where nothing could be learnt. A null id is
     never learnt from and not held out. Repeated rows each give a row; an empty table gives none.
     """
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    known = learn(own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~out))
-    names = list(known)
-    logs = np.stack([known[n] for n in names]) if names else np.zeros((0, BUCKETS), np.float32)
-    chars = max(100_000, 6_000_000 // max(4, len(names)))
+    own = _own(docs, id_col, text_col, lang_col)
+    names, logs, chars = _learnt(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(_paired(batches), chars):
@@ -164,7 +173,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             sets = [",".join(f"{names[j]}:{share[i, j]:.3f}" for j in np.argsort(-share[i], kind="stable") if active[i, j]) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in ids], pa.int64()), pa.array([o for _, o in ids]), pa.array(kinds), pa.array(score), pa.array(sets)], names=["doc_id", "held_out", "lang_pred", "score", "languages"])
 
-    return own.select("doc_id", "text", out.alias("held_out")).mapInArrow(run, PREDICTED)
+    return own.select("doc_id", "text", "held_out").mapInArrow(run, PREDICTED)
 
 
 class _Pair:
@@ -191,7 +200,16 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
     return map(_Batch, batches)
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents whose language was identified, with their own columns. A repeated (or null) id is kept if any of its rows was identified."""
-    kept = materialize(identify(docs).filter(F.col("lang_pred") != NONE).select(F.col("doc_id").alias("_kept")).distinct(), "identified")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Documents whose language was identified, with their own columns: a map over the rows, which are neither joined nor shuffled."""
+    names, logs, chars = _learnt(_own(docs, id_col, text_col, lang_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["doc_id", "text"])
+            kept = [i for ids, texts in text_chunks([rows], chars) for i, has in zip(ids, infer(texts, logs)[2]) if has]
+            if kept:
+                yield batch.take(pa.array(kept, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

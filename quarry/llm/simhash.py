@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import documents, materialize, text_chunks
+from quarry.llm._base import documents, materialize, size_mb, text_chunks
 from quarry.llm.components import connected
 
 RADIUS = 3
 PARTITIONS = 4
 #: Fingerprints of a bucket that one task compares; buckets beyond it are dealt out again.
 BUCKET = 4096
+#: Ids on disk that are broadcast at most; more are joined by shuffle.
+BROADCAST_MB = 24
 
 
 def fingerprint(text: str) -> int:
@@ -272,7 +274,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of its repeated rows, one. All columns stay."""
-    found = near_duplicates(docs)
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    """One document of each group: the one with the smallest doc_id; of its repeated rows, one. All columns stay.
+
+    What goes is a small part, so its ids meet the texts by a broadcast where their size allows, and the texts aren't shuffled.
+    """
+    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "groups")
+    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(_sized(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = materialize(found.groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("n")).filter("n > 1").select("_twice"), "repeated")
+    if not twice.take(1):
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    return kept.join(_sized(twice), same, "left_anti").unionByName(kept.join(_sized(twice), same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if size_mb(ids) <= BROADCAST_MB else ids
