@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._base import documents, materialize, size_mb, text_chunks
@@ -273,19 +273,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(roots, "code").select("doc_id", hexed.alias("fingerprint"), F.col("component_id"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Tells rows apart by id and text, so that unrelated texts under a null or repeated id are rows of their own."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; of its repeated rows, one. All columns stay.
+    """One row of each group: the one with the smallest doc_id, a null one last. All columns stay.
 
-    What goes is a small part, so its ids meet the texts by a broadcast where their size allows, and the texts aren't shuffled.
+    What goes is a small part, so its keys meet the texts by a broadcast where their size allows, and the texts aren't shuffled.
     """
-    found = materialize(near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    gone = materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(_sized(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = materialize(found.groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("n")).filter("n > 1").select("_twice"), "repeated")
+    prints = documents(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    found = materialize(_groups_of(prints), "groups")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    gone = materialize(found.join(best, "group").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias("_gone")).distinct(), "gone")
+    key = row_key(docs)
+    kept = docs.join(_sized(gone), key == F.col("_gone"), "left_anti")
+    twice = materialize(found.groupBy(F.col("row").alias("_twice")).agg(F.count("*").alias("n")).filter("n > 1").select("_twice"), "repeated")
     if not twice.take(1):
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    return kept.join(_sized(twice), same, "left_anti").unionByName(kept.join(_sized(twice), same, "left_semi").dropDuplicates(["doc_id"]))
+    same = key == F.col("_twice")
+    again = kept.join(_sized(twice), same, "left_semi")
+    one = again.withColumn("_row_key", row_key(again)).dropDuplicates(["_row_key"]).drop("_row_key")
+    return kept.join(_sized(twice), same, "left_anti").unionByName(one)
+
+
+def _groups_of(rows: DataFrame) -> DataFrame:
+    """row, doc_id, group by fingerprints. rows: row, doc_id, text."""
+    coded = materialize(fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "fingerprints")
+    nodes = materialize(coded.groupBy("code").agg(F.min("row").alias("least")), "codes")
+    roots = connected(nodes, links(nodes.select("code")))
+    ids = rows.select("row", "doc_id").distinct()
+    return coded.join(roots, "code").join(ids, "row").select("row", "doc_id", F.col("component_id").alias("group"))
 
 
 def _sized(ids: DataFrame) -> DataFrame:
