@@ -11,7 +11,7 @@ large one is first dealt out again by its remaining bits, in the same way, then
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -278,13 +278,22 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def fingerprint_groups(rows: DataFrame) -> DataFrame:
+    """row, doc_id, group: equal for what fingerprints connect. rows: row (equal only for equal id and text), doc_id, text."""
+    coded = materialize(fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "fingerprints")
+    nodes = materialize(coded.groupBy("code").agg(F.min("row").alias("least")), "codes")
+    roots = connected(nodes, links(nodes.select("code")))
+    ids = rows.select("row", "doc_id").distinct()
+    return coded.join(roots, "code").join(ids, "row").select("row", "doc_id", F.col("component_id").alias("group"))
+
+
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = fingerprint_groups) -> DataFrame:
     """One row of each group: the one with the smallest doc_id, a null one last. All columns stay.
 
     What goes is a small part, so its keys meet the texts by a broadcast where their size allows, and the texts aren't shuffled.
     """
     prints = documents(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    found = materialize(_groups_of(prints), "groups")
+    found = materialize(groups(prints), "groups")
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     gone = materialize(found.join(best, "group").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias("_gone")).distinct(), "gone")
     key = row_key(docs)
@@ -298,14 +307,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return kept.join(_sized(twice), same, "left_anti").unionByName(one)
 
 
-def _groups_of(rows: DataFrame) -> DataFrame:
-    """row, doc_id, group by fingerprints. rows: row, doc_id, text."""
-    coded = materialize(fingerprints(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row"), "fingerprints")
-    nodes = materialize(coded.groupBy("code").agg(F.min("row").alias("least")), "codes")
-    roots = connected(nodes, links(nodes.select("code")))
-    ids = rows.select("row", "doc_id").distinct()
-    return coded.join(roots, "code").join(ids, "row").select("row", "doc_id", F.col("component_id").alias("group"))
-
-
 def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if size_mb(ids) <= BROADCAST_MB else ids

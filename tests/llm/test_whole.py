@@ -1,9 +1,65 @@
 """Whole results: what the operators once left out."""
 
-from quarry.llm import simhash
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from quarry.llm import similar, simhash
 
 
 def test_rows_under_null_and_repeated_ids_stay(spark):
     rows = [(1, "same words in both of these texts"), (None, "same words in both of these texts"), (None, "rivers run to the sea at night"), (None, "a quite different stone on the hill"), (2, "first text under the id two here"), (2, "bread and cheese were on that table"), (2, "bread and cheese were on that table")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in {*rows} - {rows[1]})
+
+
+def brute_shingles(t):
+    w = t.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_groups(texts):
+    sets, group = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_the_stage_finds_what_is_similar(spark, small, monkeypatch, bucket):
+    import corpus_pipeline as c
+
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)]
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    base = [rng.choice(words) for _ in range(300)]
+    for edits in [1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16] * 2:  # around similarity 0.8
+        copy = list(base)
+        for at in rng.sample(range(300), edits):
+            copy[at] = "edited"
+        texts += [" ".join(copy), " ".join(copy)]
+    texts += ["one", "One", "two words", "a b c d e", "a b c d f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in c.keep_one_of_near_duplicates(spark, docs, small).collect())
+    assert kept == sorted(set(brute_groups(texts)))
+
+
+def test_forest_connects_what_is_similar():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in rng.integers(5, 60, 12)]
+    sets += [np.unique(np.concatenate([s[rng.random(len(s)) > 0.08], rng.integers(0, 1 << 60, 2).astype(np.uint64)])) for s in sets for _ in range(6)]
+    near = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(b := np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and len(b)}
+    found = similar.forest(np.arange(len(sets)), sets)
+
+    def parts(links):
+        group = list(range(len(sets)))
+        for i, j in links:
+            group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+        return group
+
+    assert all((min(p), max(p)) in near for p in found) and parts(sorted(near)) == parts(found)
