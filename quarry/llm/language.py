@@ -98,15 +98,28 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 def infer(texts: list[str], logs: np.ndarray, rounds: int = 8, penalty: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(proportions, chosen set, documents with letters) for the texts; logs: languages x buckets."""
+    return mixture(texts, logs, rounds, penalty)[:3]
+
+
+def mixture(texts: list[str], logs: np.ndarray, rounds: int = 8, penalty: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What infer() gives, and documents with letters that the chosen set explains, rather than the background of equal trigrams.
+
+    Background takes the place of the whole set where the words gain by it more than the price of a language. A word counts
+    with log(BUCKETS) at most for either side, so that one long string doesn't outweigh a text. Without any languages all
+    documents with letters are explained.
+    """
     k = len(logs)
-    share, active, has = np.zeros((len(texts), k)), np.zeros((len(texts), k), bool), np.zeros(len(texts), bool)
+    share, active, has, explained = np.zeros((len(texts), k)), np.zeros((len(texts), k), bool), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
     bucket, at, ends = trigrams(texts)
+    if not k:
+        explained[np.searchsorted(ends, at, side="right").clip(0, len(texts) - 1)] = True
     if not len(at) or not k:
-        return share, active, has
+        return share, active, has, explained
     first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))  # words
     doc = np.searchsorted(ends, at[first], side="right").clip(0, len(texts) - 1)
     words = np.stack([np.add.reduceat(row[bucket], first) for row in logs])  # languages x words
-    words -= words.max(axis=0)
+    top = words.max(axis=0)
+    words -= top
     p = np.exp(words).astype(np.float64)
     here, begin, of = np.unique(doc, return_index=True, return_inverse=True)  # documents' words follow each other
     n = np.add.reduceat(np.ones(len(doc)), begin)
@@ -138,8 +151,11 @@ def infer(texts: list[str], logs: np.ndarray, rounds: int = 8, penalty: float =
         pi /= pi.sum(axis=0)
         improve(1)
     improve(2)
-    share[here], active[here], has[here] = pi.T, on.T, True
-    return share, active, has
+    letters = np.diff(np.append(first, len(at)))
+    gain = np.log((pi[:, of] * p).sum(axis=0).clip(1e-300)) + top + letters * np.log(BUCKETS)
+    gain = np.add.reduceat(gain.clip(-np.log(BUCKETS), np.log(BUCKETS)), begin)
+    share[here], active[here], has[here], explained[here] = pi.T, on.T, True, gain >= -price
+    return share, active, has, explained
 
 
 def _learnt(own: DataFrame) -> tuple[list[str], np.ndarray, int]:
@@ -201,14 +217,17 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Documents whose language was identified, with their own columns: a map over the rows, which are neither joined nor shuffled."""
+    """Documents whose words a set of learnt languages explains, with their own columns: a map over the rows, which are neither joined nor shuffled.
+
+    Where no label could be learnt, documents with letters stay.
+    """
     names, logs, chars = _learnt(_own(docs, id_col, text_col, lang_col))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["doc_id", "text"])
-            kept = [i for ids, texts in text_chunks([rows], chars) for i, has in zip(ids, infer(texts, logs)[2]) if has]
+            kept = [i for ids, texts in text_chunks([rows], chars) for i, explained in zip(ids, mixture(texts, logs)[3]) if explained]
             if kept:
                 yield batch.take(pa.array(kept, pa.int64()))
 

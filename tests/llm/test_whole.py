@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import similar, simhash
+from quarry.llm import language, similar, simhash
 
 
 def test_rows_under_null_and_repeated_ids_stay(spark):
@@ -63,3 +63,13 @@ def test_forest_connects_what_is_similar():
         return group
 
     assert all((min(p), max(p)) in near for p in found) and parts(sorted(near)) == parts(found)
+
+
+def test_the_mixture_decides_which_documents_are_identified(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    fresh = [(9000, "жил был у бабушки серенький козлик " * 4, None), (9001, "x" + "qzjvkw xqzzv " * 20, None), (9002, "12 .. !!", None)]
+    both = docs.unionByName(spark.createDataFrame(fresh, "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in language.keep_identified(both).collect()}
+    assert not kept & {9000, 9001, 9002} and {r.doc_id for r in docs.filter("lang IS NOT NULL").collect()} <= kept
+    unlabelled = both.selectExpr("doc_id", "text", "cast(null AS string) AS lang")
+    assert {r.doc_id for r in language.keep_identified(unlabelled).collect()} >= {9000, 9001} and 9002 not in {r.doc_id for r in language.keep_identified(unlabelled).collect()}
