@@ -5,13 +5,14 @@ Both keep whole lines or sentences as the unit and group only digests, never tex
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._base import documents, materialize, size_mb, text_chunks
@@ -79,6 +80,8 @@ def line_report(docs: DataFrame) -> DataFrame:
 # ---- operator 5 ---------------------------------------------------------------------------------------------------
 
 UNITS = "doc_id long, row long, start long, end long, words int, hi long, lo long"
+#: Characters of scripts that set no spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _UNIT = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"\S(?:[^\n]|\n(?!\s*\n))*"),
@@ -95,6 +98,12 @@ def units_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, i
             yield m.start(), m.end(), len(words), " ".join(words).encode("utf-8", "surrogatepass")
 
 
+def weigh(normal: bytes) -> int:
+    """Length in words where spaces don't tell: eight characters of a long string or two of a script without spaces count as a word."""
+    weight = sum(max(1, len(w) // 8) for w in normal.split(b" "))
+    return weight if normal.isascii() else max(weight, len(_UNSPACED.findall(normal.decode("utf-8", "surrogatepass"))) // 2)
+
+
 def hash_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> DataFrame:
     """A row for each unit: where it stands (code points) and 128 bits of its normal form. row tells repeated ids apart."""
 
@@ -128,6 +137,71 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
     return found.filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "row", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copies")
 
 
+WINDOWS = "doc_id long, row long, start long, end long, before int, through int, hi long, lo long"
+
+
+def windows_of(weights: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """(first, last): the shortest runs of units from each one on, and up to each one where none of those ends, that weigh least together."""
+    total = [0, *itertools.accumulate(weights)]
+    ends, last = set(), 0
+    for first in range(len(weights)):
+        last = max(last, first)
+        while last < len(weights) and total[last + 1] - total[first] < least:
+            last += 1
+        if last == len(weights):
+            break
+        ends.add(last)
+        yield first, last
+    first = 0
+    for last in range(len(weights)):
+        while total[last + 1] - total[first + 1] >= least and first < last:
+            first += 1
+        if last not in ends and total[last + 1] - total[first] >= least:
+            yield first, last
+
+
+def hash_windows(docs: DataFrame, least: int) -> DataFrame:
+    """A row for each window of sentences; before and through: words of the text before its start and up to its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 40
+        kinds = (*(pa.int64(),) * 4, *(pa.int32(),) * 2, pa.int64(), pa.int64())
+        for ids, texts in text_chunks(batches, 500_000):
+            out = []
+            for doc, text in zip(ids, texts):
+                row += 1
+                units = list(units_of(text, "sentence", 1))
+                words = [0, *itertools.accumulate(u[2] for u in units)]
+                for a, b in windows_of([weigh(u[3]) for u in units], least):
+                    h = xxhash.xxh3_128_intdigest(units[a][3] if a == b else b"\n".join(u[3] for u in units[a : b + 1]))
+                    out.append((doc, row, units[a][0], units[b][1], words[a], words[b + 1], (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in WINDOWS.split(", ")])
+
+    return documents(docs).mapInArrow(run, WINDOWS)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    """The passages to remove: what runs of neighbouring sentences cover that stand earlier in the same order, min_words long together.
+
+    Sentences of any length count, over ends of lines, so copied code, lists and dialogue go whole; a long sentence is a run
+    by itself. Spans are disjoint; kept_doc_id and kept_start tell where the first run of a span stands, copies how often.
+    Rows, nulls and order are as in repeated_units.
+    """
+    windows = materialize(hash_windows(docs, min_words), "windows")
+    place = F.struct("doc_id", "row", "start")
+    firsts = windows.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    later = windows.join(firsts, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first"))).drop("hi", "lo")
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = later.withColumn("new", F.when(F.col("start") < reached, 0).otherwise(1))
+    spans = apart.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lead = F.min(F.struct("start", "end", "first", "copies")).alias("lead")
+    merged = spans.groupBy("row", "span").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("through") - F.min("before")).alias("words"), lead)
+    return merged.select("doc_id", "row", "start", "end", "words", F.col("lead.first.doc_id").alias("kept_doc_id"), F.col("lead.first.start").alias("kept_start"), F.col("lead.copies").alias("copies"))
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs (doc_id unique, text) with the spans (doc_id, start, end; disjoint) cut out of the text; others unchanged."""
     cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")).withColumnRenamed("doc_id", "_cut_id")

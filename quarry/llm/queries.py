@@ -25,7 +25,7 @@ def op4_pii_anchors(spark, sf_dir):
 
 
 def op5_unit_dedup(spark, sf_dir):
-    return lines.repeated_units(read(spark, sf_dir, "documents")).drop("row")
+    return lines.repeated_passages(read(spark, sf_dir, "documents")).drop("row")
 
 
 def op6_token_counts(spark, sf_dir):

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import language, similar, simhash
+from quarry.llm import language, lines, queries, similar, simhash
 
 
 def test_rows_under_null_and_repeated_ids_stay(spark):
@@ -73,3 +73,16 @@ def test_the_mixture_decides_which_documents_are_identified(spark, small):
     assert not kept & {9000, 9001, 9002} and {r.doc_id for r in docs.filter("lang IS NOT NULL").collect()} <= kept
     unlabelled = both.selectExpr("doc_id", "text", "cast(null AS string) AS lang")
     assert {r.doc_id for r in language.keep_identified(unlabelled).collect()} >= {9000, 9001} and 9002 not in {r.doc_id for r in language.keep_identified(unlabelled).collect()}
+
+
+def test_copied_passages_go_whole(spark, tmp_path):
+    dialogue = "Who is it?\n- Me.\n- Come in!\n- No. You come out, please. It rains.\n- Never."
+    code = "for x in y:\n    f(x)\n    g(x)\nprint(z)\nreturn z, x"
+    chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u5427\u7136\u540e\u56de\u5bb6\u5403\u996d"
+    rows = [(i, t) for i, t in enumerate([dialogue, code, chinese, "Before.\n" + dialogue, code + "\nafter it", chinese, "One thing. Never. Other thing."])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op5_unit_dedup(spark, str(tmp_path))
+    left = {r.doc_id: r.text.strip() for r in lines.remove_spans(docs, found).collect()}
+    assert [left[i].split() for i in range(3)] == [t.split() for _, t in rows[:3]]
+    assert left[3].replace("\n", "").strip() == "Before." and left[4] == "after it" and left[5] == "" and left[6] == rows[6][1]
