@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from quarry.sources.shared import materialize, shared_dir
 
+__all__ = ["broadcast_if_small", "documents", "few_parts", "materialize", "memory_mb", "read", "shared_dir", "size_mb", "text_chunks", "tree_sum"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary folder only where that is unset (local runs, tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return "file://" + _own["dir"]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage is cut, and any executor may be lost afterwards.
-
-    The folder is removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side is broadcast if its rows take no more than this in memory; a larger one is joined by shuffle.
+BROADCAST_MB = 32
+#: Partial results of tasks that one task adds up, and tasks that a pass with large partial results runs in, at most.
+FAN_IN, PARTIALS = 64, 1024
 
 
 def size_mb(df: DataFrame) -> float:
@@ -51,6 +32,37 @@ def _file_size(spark: SparkSession, path: str) -> int:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).getLen()
 
 
+def memory_mb(df: DataFrame) -> float:
+    """Rows of a table that materialize() wrote times what a row of its columns takes in a hash table: fixed columns at 8 bytes and as
+    much again, others as long as they are. All rows count.
+    """
+    wide = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    fixed = 32 + 16 * (len(df.columns) - len(wide)) + 32 * len(wide)
+    sizes = [F.sum(F.length(F.to_json(F.struct(c))) if df.schema[c].dataType.typeName() not in ("string", "binary") else F.length(c)) for c in wide]
+    n, *more = df.agg(F.count("*"), *sizes).first()
+    return (n * fixed + sum(x or 0 for x in more)) / 1e6
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, written before by materialize(), marked for a broadcast only where its size in memory allows."""
+    return F.broadcast(df) if memory_mb(df) <= BROADCAST_MB else df
+
+
+def few_parts(df: DataFrame) -> DataFrame:
+    """df in so few partitions that partial results of some MB for each don't grow with the corpus; each task reads more of it instead."""
+    return df.coalesce(max(PARTIALS, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def tree_sum(df: DataFrame, keys: list[str], add: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """df with the rows of equal keys added up by ``add``, through levels of at most about FAN_IN rows to add in one place."""
+    parts, schema = df.rdd.getNumPartitions(), df.schema
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        near = df.withColumn("_near", F.spark_partition_id() % parts)
+        df = near.repartition(4 * parts, "_near", *keys).sortWithinPartitions("_near", *keys).drop("_near").mapInPandas(add, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(add, schema)
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names: other columns of any name can't clash."""
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

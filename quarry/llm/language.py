@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import text_chunks
+from quarry.llm._base import few_parts, text_chunks, tree_sum
 
 BUCKETS = 1 << 16
 SLICE = 1 << 10
@@ -89,7 +89,7 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
             yield pd.DataFrame([(*held[:2], held[2].tobytes())], columns=["lang", "slice", "counts"])
 
     schema = "lang string, slice int, counts binary"
-    summed = labelled.select("text", "lang").mapInArrow(count, schema).repartition("lang", "slice").sortWithinPartitions("lang", "slice").mapInPandas(add, schema)
+    summed = tree_sum(few_parts(labelled.select("text", "lang")).mapInArrow(count, schema), ["lang", "slice"], add)
     model: dict[str, np.ndarray] = {}
     for row in summed.collect():  # BUCKETS counts for each language
         model.setdefault(row["lang"], np.zeros(BUCKETS))[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(bytes(row["counts"]), "<i8")
@@ -219,7 +219,8 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Documents whose words a set of learnt languages explains, with their own columns: a map over the rows, which are neither joined nor shuffled.
 
-    Where no label could be learnt, documents with letters stay.
+    Where no label could be learnt, documents with letters stay. A null text, an empty one and one without letters go; a null id
+    is neither learnt from nor a reason to go; each of repeated rows is judged, and alike; an empty table stays empty.
     """
     names, logs, chars = _learnt(_own(docs, id_col, text_col, lang_col))
     at = docs.columns.index(text_col)

@@ -15,10 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._base import documents, materialize, size_mb, text_chunks
+from quarry.llm._base import BROADCAST_MB, documents, materialize, memory_mb, text_chunks
 
-#: A table of at most this size is broadcast; a larger one is joined by shuffle.
-BROADCAST_MB = 48
+#: A line that stands on a single page of its host isn't repeated, whatever its share.
+LEAST_PAGES = 2
+#: Tasks that share the pages of one host where the boilerplate is too large for a broadcast.
+SALTS = 16
 
 
 # ---- operator 9 ---------------------------------------------------------------------------------------------------
@@ -29,33 +31,49 @@ def _digest(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.hash(F.trim(line)).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
-    """(host, lines): digests of the lines on more than ratio of the host's pages, and on min_pages at least.
+def boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = 0.2) -> DataFrame:
+    """(host, lines): digests of the lines on more than ratio of the host's pages, and on more than one of them.
 
-    A host has at most (mean lines of a page / ratio) such lines, so the array does not grow with the host.
+    A host has at most (mean lines of a page / ratio) such lines, so the array does not grow with the host. A null host is a host of
+    its own; a null text is a page without lines; a line counts once for each page; repeated rows are pages each; an empty table
+    gives no rows.
     """
     pages = docs.select(host.alias("host"), F.col(text_col).alias("text"))
     lines = pages.filter(F.col("text").isNotNull()).select("host", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _digest))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     return counts.join(totals, counts["host"].eqNullSafe(totals["host"])).filter(F.col("n") > ratio * F.col("pages")).groupBy(counts["host"]).agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.2) -> DataFrame:
     """docs with their boilerplate lines dropped from the text, and _lines and _dropped: how many lines there were and went.
 
     A null text stays null; a null host is a host of its own; blank lines are kept; repeated rows are pages each; an empty
-    table stays empty. All other columns pass through.
+    table stays empty. All other columns pass through; where docs has a column _lines or _dropped, those added have one more
+    underscore in front, until no name is taken.
     """
-    bad = materialize(boilerplate(docs, docs[host_col], text_col, ratio, min_pages).select(F.col("host").alias("at"), F.col("lines").alias("bad")), "boilerplate")
-    small = size_mb(bad) <= BROADCAST_MB
+    bad = materialize(boilerplate(docs, docs[host_col], text_col, ratio).select(F.col("host").alias("at"), F.col("lines").alias("bad")), "boilerplate")
     # the row as one column, so that none of its names meets those used here
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host_col].alias("host"), F.split(docs[text_col], "\n").alias("lines"))
-    joined = rows.join(F.broadcast(bad) if small else bad, F.col("host").eqNullSafe(F.col("at")), "left")
+    if memory_mb(bad) <= BROADCAST_MB:
+        joined = rows.join(F.broadcast(bad), F.col("host").eqNullSafe(F.col("at")), "left")
+    else:  # the pages of one host are shared among tasks
+        dealt = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("mine", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        joined = rows.join(dealt, F.col("host").eqNullSafe(F.col("at")) & (F.col("mine") == F.col("salt")), "left")
     kept = F.filter("lines", lambda x: ~F.array_contains("bad", _digest(x)))
     joined = joined.select("row", "lines", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
-    own = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_dropped")]
-    return joined.select(*own, F.coalesce(F.size("lines"), F.lit(0)).alias("_lines"), F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias("_dropped"))
+    own = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    n_lines, n_dropped = count_names(docs)
+    return joined.select(*own, F.coalesce(F.size("lines"), F.lit(0)).alias(n_lines), F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).alias(n_dropped))
+
+
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """The names under which drop_boilerplate adds its counts."""
+    taken, names = {c.lower() for c in docs.columns}, ("_lines", "_dropped")
+    while taken & set(names):
+        names = ("_" + names[0], "_" + names[1])
+    return names
 
 
 LINE_SQL = """
@@ -64,7 +82,7 @@ totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
 seen AS (SELECT source, line, count(*) AS n FROM (
   SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM pages) WHERE line <> '' GROUP BY source, line),
 bad AS (SELECT seen.source, list(line) AS lines FROM seen JOIN totals ON seen.source IS NOT DISTINCT FROM totals.source
-  WHERE n >= 5 AND n > 0.2 * pages GROUP BY seen.source),
+  WHERE n >= 2 AND n > 0.2 * pages GROUP BY seen.source),
 kept AS (SELECT doc_id, pages.lines AS before, list_filter(pages.lines, lambda x: NOT coalesce(list_contains(bad.lines, trim(x)), false)) AS after
   FROM pages LEFT JOIN bad ON pages.source IS NOT DISTINCT FROM bad.source)
 SELECT doc_id, CAST(coalesce(len(before), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(before) - len(after), 0) AS INTEGER) AS n_dropped,

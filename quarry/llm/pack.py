@@ -13,6 +13,7 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,32 @@ class ByteBpe:
         self._spaces = re.compile(r"\s\s")
 
     def __call__(self, text: str) -> np.ndarray:
+        if not (runs := [m.span() for m in _LONG_GAP.finditer(text)]):
+            return self._encode(text)
+        # a long gap is one pre-token but for its last character, which goes with what follows: the pattern need not look for its end
+        out, done = [], 0
+        for lo, hi in runs:
+            out.append(self._encode(text[done:lo]))
+            done = hi if hi == len(text) or self._special_text.match(text, hi) else hi - 1
+            out.append(self._plain.encode_to_numpy(text[lo:done], disallowed_special=()))
+        return np.concatenate([*out, self._encode(text[done:])])
+
+    def _encode(self, text: str) -> np.ndarray:
         if self._special_text.search(text):
             return self._full.encode_to_numpy(text, allowed_special="all")
         return (self._full if self._spaces.search(text) else self._plain).encode_to_numpy(text, disallowed_special=())
 
 
+#: White space that would be too long for the pattern's lookahead, which goes back over it step by step.
+_LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+@lru_cache(2)
+def encoder(json_path: str) -> ByteBpe:
+    """Loaded once in each worker, however many tasks it runs."""
+    return ByteBpe(json_path)
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Byte-level BPE writes each byte as a printable character: printable ones as themselves, the others from U+0100 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -76,7 +98,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
     """Pieces of every document. part and seq number the pieces of one length within a task, for ranks later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteBpe(tokenizer)
+        encode = encoder(tokenizer)
         context = TaskContext.get()
         part, seen = context.partitionId() if context else 0, np.zeros(capacity + 1, dtype=np.int64)
         for ids, texts in text_chunks(batches):

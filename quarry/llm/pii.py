@@ -7,6 +7,7 @@ the leftmost non-overlapping matches of their patterns; the cues add spans of fu
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,10 +30,14 @@ _DIGITS = re.compile(r"[0-9]+")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_ACCOUNT = re.compile(r"[ \t]{0,3}(?:number|no\.?|nr\.?|id|#)?[ \t]{0,3}[:=#]?[ \t]{0,3}([A-Z0-9][A-Z0-9-]{4,32}[A-Z0-9])(?![A-Za-z0-9])")
-_SPOKEN = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+-]*) ?[\[(] ?at ?[\])] ?([A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)+)")
+_ACCOUNT = re.compile(r"[ \t]{0,3}(?i:number|no\.?|nr\.?|id|#)?[ \t]{0,3}[:=#]?[ \t]{0,3}([A-Z0-9][A-Z0-9-]{4,32}[A-Z0-9])(?![A-Za-z0-9])")
+_SPOKEN_DOMAIN = re.compile(r"[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)+", re.I)
+_LETTERS = re.compile(r"[A-Za-z]*")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
-CUES = ("account", "acct", "passport", "iban", "ssn", "customer id", "konto", "compte", "cuenta")
+CUES = (
+    "account", "acct", "passport", "iban", "ssn", "social security", "customer id", "client id", "member id", "national id", "tax id", "routing",
+    "konto", "kundennummer", "reisepass", "compte", "passeport", "cuenta", "pasaporte",
+)
 SPOKEN_AT = ("(at)", "[at]", "( at )", "[ at ]")
 
 
@@ -51,7 +56,7 @@ def iban_valid(text: str) -> bool:
 
 @lru_cache(1)
 def automaton():
-    """Finds the anchors. Values are (kind, length); cues in their usual cases."""
+    """Finds the anchors in lower-cased text. Values are (kind, length)."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -61,12 +66,20 @@ def automaton():
         found.add_word(d, ("digit", 1))
     for words, kind in ((SCHEMES, "scheme"), (CUES, "cue"), (SPOKEN_AT, "spoken")):
         for w in words:
-            for case in {w, w.upper(), w.capitalize(), w.title()}:
-                found.add_word(case, (kind, len(case)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
 
+_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def lowered(text: str) -> str:
+    """Lower case, with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
 def emails(text: str, ats: list[int]) -> list[tuple[int, int]]:
     """At an at-sign, the local part is what its characters reach to the left, from the last match on; the domain is greedy."""
     found, done = [], 0
@@ -94,7 +107,7 @@ def leftmost(pattern: re.Pattern, text: str, starts: list[int]) -> Iterator[re.M
 
 def numbers(text: str, digits: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """IP addresses and card numbers. digits: where digits stand."""
-    ips = [m.span() for m in leftmost(_IP, text, digits) if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups())]
+    ips = [m.span() for m in leftmost(_IP, text, digits) if all(len(part := g.lstrip("0")) <= 3 and int(part or 0) <= 255 for g in m.groups())]
     cards = []
     for m in leftmost(_CARD, text, digits):
         plain = m.group().replace(" ", "").replace("-", "")
@@ -107,8 +120,8 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in order of start, as code points with exclusive ends."""
     at, plus, digits, schemes, cues, spoken = [], [], [], [], [], []
     into = {"at": at, "plus": plus, "digit": digits, "scheme": schemes, "cue": cues, "spoken": spoken}
-    for end, (kind, length) in automaton().iter(text):
-        into[kind].append(end + 1 - length)
+    for end, (kind, length) in automaton().iter(lowered(text)):
+        into[kind].append((end + 1 - length, end + 1) if kind == "cue" else end + 1 - length)
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + ADDED}
     if at:
         found["email"] = emails(text, at)
@@ -123,26 +136,44 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
         head = re.compile(r"[A-Za-z]+:(//)?").match(text, start).end()
         if (m := _URL.match(text, head)) and (start == 0 or not text[start - 1].isalnum()):
             found["url"].append((start, head + len(m.group().rstrip(".,;:!?)]"))))
-    for start in spoken:
-        lo = max(0, start - 66)
-        for m in _SPOKEN.finditer(text, lo, min(len(text), start + 260)):
-            if m.start() <= start < m.end() and (not found["handle"] or m.start() >= found["handle"][-1][1]):
-                found["handle"].append(m.span())
-    for start in sorted(set(cues)):
+    for at in spoken:
+        done = found["handle"][-1][1] if found["handle"] else 0
+        if at < done or not (m := _SPOKEN_DOMAIN.match(text, at)):
+            continue
+        start = end = at - (at > done and text[at - 1] == " ")
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < end and text[start] in "._%+-":
+            start += 1
+        if start < end:
+            found["handle"].append((start, m.end()))
+    taken = sorted(span for k in ADDED for span in found[k])
+    cues = sorted(set(cues))
+    for i, (start, end) in enumerate(cues):
         if start and text[start - 1].isalpha():
             continue
-        end = start + re.compile(r"[A-Za-z]+(?: id)?", re.I).match(text, start).end() - start
+        end = _LETTERS.match(text, end).end()
+        # a cue speaks of its line, up to the next cue
+        stop = text.find("\n", end)
+        stop = min(len(text) if stop < 0 else stop, max(end, cues[i + 1][0]) if i + 1 < len(cues) else len(text))
         near = []
-        for kind, m in (("iban", _IBAN.search(text, end, end + 48)), ("ssn", _SSN.search(text, end, end + 24)), ("account", _ACCOUNT.match(text, end))):
-            if m and (kind != "iban" or iban_valid(m.group())) and (kind != "account" or any(c.isdigit() for c in m.group(1))):
+        for kind, m in (("iban", _first_iban(text, end, stop)), ("ssn", _SSN.search(text, end, stop)), ("account", _ACCOUNT.match(text, end))):
+            if m and (kind != "account" or any(c.isdigit() for c in m.group(1))) and not text[m.end() : m.end() + 1].isalnum():
                 near.append((*m.span(1 if kind == "account" else 0), kind))
         if near:  # the cue tells of what comes first
             lo, hi, kind = min(near, key=lambda x: x[0])
-            if not any(a < hi and lo < b for k in ADDED for a, b in found[k]):
+            at = bisect.bisect_left(taken, (hi,))
+            if not any(lo < b for _, b in taken[max(0, at - 2) : at]):
                 found[kind].append((lo, hi))
+                bisect.insort(taken, (lo, hi))
     return found
 
 
+def _first_iban(text: str, lo: int, hi: int) -> re.Match | None:
+    """The first account number of that form whose check digits hold."""
+    return next((m for m in _IBAN.finditer(text, lo, hi) if iban_valid(m.group())), None)
+
+
 def joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k in kinds for s, e in sorted(found[k]))
 

@@ -4,8 +4,9 @@ Fingerprints link at RADIUS or fewer differing bits. The bits are dealt to parti
 partition; a dynamic programme gives each partition its own threshold, from candidate counts estimated on the histograms of
 all fingerprints. The thresholds of m partitions sum to RADIUS - m + 1 (-1: the partition is not probed), so two linked
 fingerprints are within the threshold in one partition at least. Every fingerprint stands in the buckets of its own values and
-probes those around them; buckets are verified on all bits. A bucket gives the links of a spanning forest, not all pairs, and a
-large one is first dealt out again by its remaining bits, in the same way, then in blocks.
+probes those around them; buckets are verified on all bits. A bucket gives the links of a spanning forest, not all pairs. A
+large one is first dealt out again by its remaining bits, in the same way; what is large even then is parted by the bits that
+still vary, again and again, in the task that holds it.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import documents, materialize, size_mb, text_chunks
+from quarry.llm._base import broadcast_if_small, documents, materialize, text_chunks
 from quarry.llm.components import connected
 
 RADIUS = 3
 PARTITIONS = 4
 #: Fingerprints of a bucket that one task compares; buckets beyond it are dealt out again.
 BUCKET = 4096
-#: Ids on disk that are broadcast at most; more are joined by shuffle.
-BROADCAST_MB = 24
+#: Fingerprints that are held against each other one by one; more are parted by their bits first.
+BLOCK = 1024
 
 
 def fingerprint(text: str) -> int:
@@ -152,12 +153,35 @@ def forest(codes: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> list[tup
         codes, own = np.delete(codes, i), np.delete(own, i)
         while waiting and len(codes):
             x = waiting.pop()
-            near = np.bitwise_count(codes ^ x) <= radius
-            if near.any():
-                reached = codes[near]
+            close = np.bitwise_count(codes ^ x) <= radius
+            if close.any():
+                reached = codes[close]
                 out += [(int(x), int(y)) for y in reached]
                 waiting.extend(reached)
-                codes, own = codes[~near], own[~near]
+                codes, own = codes[~close], own[~close]
+    return out
+
+
+def near(codes: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links that connect what is within radius of own codes; codes are distinct.
+
+    Many codes are parted by radius + 1 groups of the bits in which they vary: linked ones agree on one group, so only codes that do
+    are held against each other. Each part varies in fewer bits, so the parts come to an end.
+    """
+    varying = int(np.bitwise_or.reduce(codes ^ codes[0]))
+    bits = [b for b in range(64) if varying >> b & 1]
+    if len(codes) <= BLOCK or len(bits) <= radius:
+        return forest(codes, own, radius)
+    out: list[tuple[int, int]] = []
+    for g in range(radius + 1):
+        mask = np.uint64(sum(1 << b for b in bits[g :: radius + 1]))
+        order = np.argsort(codes & mask, kind="stable")
+        value = (codes & mask)[order]
+        edges = np.concatenate([[0], np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+        for lo, hi in zip(edges[:-1][np.diff(edges) > 1].tolist(), edges[1:][np.diff(edges) > 1].tolist()):
+            part = order[lo:hi]
+            if own[part].any():
+                out += near(codes[part], own[part], radius)
     return out
 
 
@@ -223,7 +247,7 @@ def _bucket_links(codes: DataFrame, parts: list[list[int]], thresholds: list[int
         for codes_, own in _groups(batches):
             if len(codes_) < 2:
                 continue
-            found = forest(codes_, own)
+            found = near(codes_, own)
             if found:
                 a, b = np.array(found, np.uint64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -270,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = links(nodes.select("code"))
     roots = connected(nodes, edges)
     hexed = F.lower(F.lpad(F.hex("code"), 16, "0"))
-    return prints.join(roots, "code").select("doc_id", hexed.alias("fingerprint"), F.col("component_id"))
+    return prints.join(broadcast_if_small(roots), "code").select("doc_id", hexed.alias("fingerprint"), F.col("component_id"))
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -284,28 +308,30 @@ def fingerprint_groups(rows: DataFrame) -> DataFrame:
     nodes = materialize(coded.groupBy("code").agg(F.min("row").alias("least")), "codes")
     roots = connected(nodes, links(nodes.select("code")))
     ids = rows.select("row", "doc_id").distinct()
-    return coded.join(roots, "code").join(ids, "row").select("row", "doc_id", F.col("component_id").alias("group"))
+    return coded.join(broadcast_if_small(roots), "code").join(ids, "row").select("row", "doc_id", F.col("component_id").alias("group"))
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = fingerprint_groups) -> DataFrame:
-    """One row of each group: the one with the smallest doc_id, a null one last. All columns stay.
+    """One row of each group: the one with the smallest doc_id, a null one last, ties by a hash of id and text. All columns stay.
+
+    Rows are told apart by id and text: under a null or repeated id each text is decided for itself, and of rows that agree in both
+    one stays, as they are copies. Null and empty texts are a group by the rules of ``groups``. An empty table stays empty.
 
     What goes is a small part, so its keys meet the texts by a broadcast where their size allows, and the texts aren't shuffled.
     """
     prints = documents(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     found = materialize(groups(prints), "groups")
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    gone = materialize(found.join(best, "group").filter(F.col("row") != F.col("best.row")).select(F.col("row").alias("_gone")).distinct(), "gone")
-    key = row_key(docs)
-    kept = docs.join(_sized(gone), key == F.col("_gone"), "left_anti")
-    twice = materialize(found.groupBy(F.col("row").alias("_twice")).agg(F.count("*").alias("n")).filter("n > 1").select("_twice"), "repeated")
-    if not twice.take(1):
-        return kept
-    same = key == F.col("_twice")
-    again = kept.join(_sized(twice), same, "left_semi")
-    one = again.withColumn("_row_key", row_key(again)).dropDuplicates(["_row_key"]).drop("_row_key")
-    return kept.join(_sized(twice), same, "left_anti").unionByName(one)
-
-
-def _sized(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if size_mb(ids) <= BROADCAST_MB else ids
+    gone = materialize(found.join(best, "group").filter(F.col("row") != F.col("best.row")).select("row", "doc_id").distinct(), "gone")
+    twice = materialize(found.groupBy("row", "doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("row", "doc_id"), "repeated")
+    # the row as one column, so that none of its names meets those used here
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("id"))
+
+    def same(keys: DataFrame) -> Column:
+        return (F.col("key") == keys["row"]) & F.col("id").eqNullSafe(keys["doc_id"])
+
+    kept = whole.join(broadcast_if_small(gone), same(gone), "left_anti")
+    if twice.take(1):
+        again = kept.join(broadcast_if_small(twice), same(twice), "left_semi")
+        kept = kept.join(broadcast_if_small(twice), same(twice), "left_anti").unionByName(again.dropDuplicates(["key", "id"]))
+    return kept.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])

@@ -1,11 +1,13 @@
 """Operator 7: exact substring dedup by longest-previous-factor arrays over sampled suffixes.
 
-A string of LENGTH bytes that occurs twice contains the same anchor: the k-gram of least hash, leftmost, among those in it
-(winnowing). So suffixes are taken at anchors only. Anchors of one k-gram meet in one group with LENGTH bytes of text to
-the right and what may lie to the left. Within a group, sorting the right contexts gives the suffix order and its LCP array;
-moving left byte by byte from the anchor refines it into classes that also share the left bytes, for every start around it.
-Where the factor shared with a neighbour in suffix order reaches LENGTH, the start repeats elsewhere; where it is shared with
-a smaller text position (the longest previous factor reaches LENGTH), it is a later copy.
+Every string of LEAST bytes has an anchor: its k-gram of least hash, leftmost (winnowing). Equal strings have equal anchors at
+equal places, so each start of a text belongs to the anchor of the string of LEAST bytes that begins there, and only starts whose
+anchors' k-grams occur twice can repeat. Starts of one k-gram meet in one group, with the bytes around their anchors.
+
+Within a group, sorting what follows the anchors gives the suffix order and its LCP array. Moving left byte by byte refines
+it to the suffix order of the starts at each distance from the anchor. There the previous and the next smaller text positions
+give the longest previous factor of each start; a start whose factor reaches LENGTH is a later copy. The LCP with either
+neighbour in suffix order tells whether it repeats at all.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._base import documents, materialize, size_mb
+from quarry.llm._base import BROADCAST_MB, broadcast_if_small, documents, materialize, memory_mb
 
 LENGTH = 400
+#: The shortest repeated strings that are found; what reaches LENGTH is removed, all are counted.
+LEAST = 256
 GRAM = 48
-#: Anchors of a k-gram that stay together; those of more frequent ones are dealt out by what else they must share.
-GROUP = 20_000
-#: Contexts that are solved together.
-ROWS = 20_000
-#: A table of at most this size is broadcast; a larger one is joined by shuffle.
-BROADCAST_MB = 48
+#: Anchors of a k-gram that stay together. Those of more frequent ones are parted by what their strings have in common, and starts
+#: that still meet too many others are compared by digests of their strings, which need no common place.
+GROUP = 1000
+#: Starts of so many neighbouring distances from an anchor of a frequent k-gram go together.
+RANGE = 32
+#: Rows that are solved together.
+ROWS = 10_000
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -91,23 +96,23 @@ def runs_of_period(data: np.ndarray, gram: int, most: int = PERIOD) -> list[tupl
     return out
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """(places, hashes) of the grams that are the leftmost least in some window of length bytes, and long periodic stretches.
+def anchors(data: np.ndarray, length: int = LENGTH, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(anchor, its hash, first and end start that belong to it) of the strings of ``least`` bytes, and long periodic stretches.
 
-    A gram with a short period of its own comes after all others, so it is chosen only within long periodic stretches, and there
-    only for the strings of the first period: those after it repeat them, which the stretch itself says.
+    A gram with a short period of its own comes after all others, so it is chosen only within long periodic stretches. There only the
+    strings of the first period have anchors: those after it repeat them, which the stretch itself says.
     """
-    if len(data) > 1 << 27:  # in blocks that share a window, so no window is missed
+    if len(data) > 1 << 27:  # in blocks that share a string but for its first byte, so no start is missed
         half = 1 << 26
-        parts = [anchors(data[i : i + half + length], length, gram) for i in range(0, len(data), half)]
-        places = np.concatenate([p + i * half for i, (p, _, _) in enumerate(parts)])
-        places, at = np.unique(places, return_index=True)
-        return places, np.concatenate([h for _, h, _ in parts])[at], [(a + i * half, b + i * half, p) for i, (_, _, r) in enumerate(parts) for a, b, p in r]
+        parts = [(i, anchors(data[i : i + half + least - 1], length, least, gram)) for i in range(0, len(data), half)]
+        columns = [np.concatenate([p[c] + (0 if c == 1 else i) for i, p in parts]) for c in range(4)]
+        return columns[0], columns[1].view(np.uint64), columns[2], columns[3], [(a + i, b + i, p) for i, part in parts for a, b, p in part[4]]
     h = gram_hashes(data, gram)
-    w = length - gram + 1
+    w = least - gram + 1
     n = len(h) - w + 1
     if n <= 0:
-        return np.zeros(0, np.int64), h[:0], []
+        none = np.zeros(0, np.int64)
+        return none, h[:0], none, none, []
     stretches = runs_of_period(data, gram)
     rows = -(-len(h) // w)
     keys = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
@@ -117,176 +122,227 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     grid = keys.reshape(rows, w)
     ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-    long = [(lo, hi, p) for lo, hi, p in stretches if hi - lo >= length + p]
-    if long:
-        told = np.zeros(n, bool)
-        for lo, hi, p in long:
-            told[lo + p : hi - length + 1] = True
-        least = least[~told]
-    places = np.unique((least[np.concatenate([[True], np.diff(least) != 0])] if len(least) else least) & _PLACE).astype(np.int64)
-    return places, h[places], long
-
-
-ANCHORS = "gram long, digest binary, at int, upto int, period int"
-CONTEXTS = "grp binary, rank long, digest binary, at int, lo int, hi int, lft binary, rgt binary"
+    place = (np.minimum(back[:n], ahead[w - 1 : w - 1 + n]) & _PLACE).astype(np.int64)
+    long = [(lo, hi, p) for lo, hi, p in stretches if hi - lo >= least + p]
+    for lo, hi, p in long:
+        if hi - lo >= length + p:
+            place[lo + p : hi - length + 1] = -1
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    end = np.append(first[1:], n)
+    told = place[first] >= 0
+    first, end = first[told], end[told]
+    return place[first], h[place[first]], first, end, long
+
+
+ANCHORS = "gram long, digest binary, at int, first int, end int, period int"
+CONTEXTS = "grp binary, kind int, rank long, digest binary, at int, lo int, hi int, lft binary, rgt binary"
+STRINGS = "cls binary, kind int, rank long, digest binary, start int"
+FLAGGED = "digest binary, begin int, end int, kind int"
+#: What a span says: it repeats over LENGTH, it does so after an earlier place, it repeats over LEAST. EITHER: a row for all of them.
+REMOVED, LATER, SHORT, EITHER = 0, 1, 2, 3
 #: Ranks a text without an id after all others.
-LAST = (1 << 62)
+LAST = 1 << 62
 
 
 def _batch(rows: list[tuple], kinds: tuple, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in names.split(", ")])
 
 
-def find_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def find_anchors(texts: DataFrame, length: int, least: int, gram: int) -> DataFrame:
     """A row for each anchor of each text, and one without gram for each long periodic stretch. texts: digest, body (binary)."""
+    kinds = (pa.int64(), pa.binary(), *(pa.int32(),) * 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for digest, body in zip(batch.column(0), batch.column(1)):
                 body = body.as_py()
-                if len(body) < length:
+                if len(body) < least:
                     continue
-                places, h, long = anchors(np.frombuffer(body, np.uint8), length, gram)
-                key = digest.as_py()
-                rows[0] += h.view(np.int64).tolist() + [None] * len(long)
-                rows[1] += [key] * (len(places) + len(long))
-                rows[2] += places.tolist() + [lo for lo, _, _ in long]
-                rows[3] += [None] * len(places) + [hi for _, hi, _ in long]
-                rows[4] += [None] * len(places) + [p for _, _, p in long]
+                places, h, first, end, long = anchors(np.frombuffer(body, np.uint8), length, least, gram)
+                key, none = digest.as_py(), [None] * len(long)
+                for column, values in zip(rows, (h.view(np.int64).tolist() + none, [key] * (len(places) + len(long)), places.tolist() + none, first.tolist() + [x[0] for x in long], end.tolist() + [x[1] for x in long], [None] * len(places) + [x[2] for x in long])):
+                    column += values
+                if len(rows[0]) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=[c.split()[0] for c in ANCHORS.split(", ")])
+                    rows = [[], [], [], [], [], []]
             if rows[0]:
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=[c.split()[0] for c in ANCHORS.split(", ")])
 
     return texts.mapInArrow(run, ANCHORS)
 
 
-def dyadic(reach: int) -> list[tuple[int, int]]:
-    """[0, 1), [1, 2), [2, 4), ... up to reach: starts so far left of the anchor."""
-    out, lo = [(0, 1)], 1
-    while lo < reach:
-        out.append((lo, min(2 * lo, reach)))
-        lo *= 2
-    return out
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """For each repeated anchor, its surroundings. texts: digest, rank, body, found (array of (at, gram, hot)).
+def contexts(texts: DataFrame, length: int, least: int) -> DataFrame:
+    """The surroundings of repeated anchors. texts: digest, rank, body, found (array of (at, gram, first, end, hot); at is null where
+    a periodic stretch tells that the starts repeat).
 
-    Starts lo <= a < hi to the left of the anchor are to be judged. An anchor of a frequent k-gram comes once for each dyadic
-    range of starts, in a group of those that share what all strings of that range contain, so such a group falls apart.
+    A string of ``length`` can repeat only where all strings of ``least`` in it do, so other starts need no longer surroundings.
+    Starts lo <= a < hi to the left of an anchor are to be judged. Those of a frequent k-gram come in ranges, each in a group
+    of those that share what all strings of the range have in common, so such a group falls apart.
     """
-    reach = length - gram + 1
-    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def rows_of(digest: bytes, rank: int, body: bytes, found: list[dict]) -> Iterator[tuple]:
+        open_ = np.zeros(max(0, len(body) - least + 1) + 1, np.int64)
+        for a in found:
+            open_[a["first"] : a["end"]] = 1
+        whole = np.concatenate([[0], np.cumsum(open_)])
+        long = np.zeros(len(open_), bool)
+        n = len(body) - length + 1
+        if n > 0:
+            long[:n] = whole[length - least + 1 : length - least + 1 + n] - whole[:n] == length - least + 1
+        for a in found:
+            at = a["at"]
+            if at is None:
+                continue
+            gram = a["gram"].to_bytes(8, "little", signed=True)
+            lo, hi = at - a["end"] + 1, at - a["first"] + 1  # distances of the starts from the anchor
+            wanted = np.flatnonzero(long[a["first"] : a["end"]])
+            if not a["hot"]:
+                reach = length if len(wanted) else least
+                yield gram, EITHER, rank, digest, at, lo, hi, body[at - hi + 1 : at], body[at : at - lo + reach]
+                continue
+            spans = [(SHORT, least, lo, hi)]
+            if len(wanted):
+                spans.append((REMOVED, length, at - a["first"] - int(wanted[-1]), at - a["first"] - int(wanted[0]) + 1))
+            for kind, size, low, high in spans:
+                for begin in range(low - low % RANGE, high, RANGE):
+                    # what all strings that start at these distances contain, the same for every text, however it cuts the range
+                    core = body[max(0, at - begin) : at - begin - RANGE + 1 + size] if at >= begin else b""
+                    group = gram + bytes((kind, begin // RANGE)) + xxhash.xxh3_128_digest(core)
+                    x, y = max(low, begin), min(high, begin + RANGE)
+                    yield group, kind, rank, digest, at, x, y, body[at - y + 1 : at], body[at : at - x + size]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out: list[tuple] = []
         for batch in batches:
             for digest, rank, body, found in zip(*batch.columns):
-                digest, rank, body = digest.as_py(), rank.as_py(), body.as_py()
-                for a in found.as_py():
-                    at = a["at"]
-                    for lo, hi in dyadic(reach) if a["hot"] else [(0, reach)]:
-                        if at < lo or at + length - min(at, hi - 1) > len(body):
-                            continue  # no string of the range lies inside the text
-                        group = a["gram"].to_bytes(8, "little", signed=True)
-                        if a["hot"]:
-                            group += lo.to_bytes(2, "little") + xxhash.xxh3_128_digest(body[at - lo : at + length - hi + 1])
-                        out.append((group, rank, digest, at, lo, hi, body[max(0, at - hi + 1) : at], body[at : at + length - lo]))
-                if len(out) >= 2000:
-                    yield _batch(out, kinds, CONTEXTS)
-                    out = []
+                for row in rows_of(digest.as_py(), rank.as_py(), body.as_py(), found.as_py()):
+                    out.append(row)
+                    if len(out) >= 2000:
+                        yield _batch(out, kinds, CONTEXTS)
+                        out = []
         if out:
             yield _batch(out, kinds, CONTEXTS)
 
     return texts.mapInArrow(run, CONTEXTS)
 
 
-def judge(group: np.ndarray, lo: int, hi: int, lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor and start a in [lo, hi): does the string repeat at all, and does it repeat an earlier one of this order.
+def smaller_before(position: np.ndarray, lcp: np.ndarray, longest: int) -> np.ndarray:
+    """For each suffix, the LCP with the nearest one before it in suffix order that stands earlier in the text; -1 without one.
 
-    Rows come in order of (group, position in the corpus). Arrays are rows x (hi - lo).
+    lcp: with the suffix before, -1 where a class begins. longest: the size of the largest class. All at once: least positions and
+    LCPs over powers of two, then a descent over them.
+    """
+    n = len(position)
+    levels = max(1, int(longest).bit_length())
+    least, low = [position], [lcp]
+    for k in range(levels - 1):
+        step = 1 << k
+        p, m = least[-1].copy(), low[-1].copy()
+        np.minimum(p[step:], least[-1][:-step], out=p[step:])
+        np.minimum(m[step:], low[-1][:-step], out=m[step:])
+        m[:step], p[:step] = -1, -1  # reaches over the beginning
+        least.append(p)
+        low.append(m)
+    at, reached = np.arange(n) - 1, lcp.copy()
+    for k in range(levels - 1, -1, -1):
+        safe = np.maximum(at, 0)
+        skip = (at >= 0) & (reached >= 0) & (least[k][safe] > position)
+        reached = np.where(skip, np.minimum(reached, low[k][safe]), reached)
+        at = np.where(skip, at - (1 << k), at)
+    ok = (at >= 0) & (reached >= 0)
+    ok[ok] = position[at[ok]] < position[ok]
+    return np.where(ok, reached, -1)
+
+
+def previous_factors(position: np.ndarray, lcp: np.ndarray, longest: int) -> np.ndarray:
+    """LPF: the larger of the LCPs with the previous and the next smaller text position in suffix order; -1 without one."""
+    back = np.concatenate([lcp[1:], [-1]])[::-1]
+    return np.maximum(smaller_before(position, lcp, longest), smaller_before(position[::-1], back, longest)[::-1])
+
+
+def judge(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each distance a < hi of a start from its anchor: the longest match with any other place, and with an earlier
+    one (the longest previous factor); 0 without one. Rows come in order of their position in the corpus.
+
+    Matches are cut where a row's bytes end, which is where they say all that is asked.
     """
-    n = len(group)
-    repeats, later = np.zeros((n, hi - lo), bool), np.zeros((n, hi - lo), bool)
-    depth = length - lo
-    right = np.zeros((n, depth), np.uint8)
-    size = np.array([len(r) for r in rights])
-    for i, r in enumerate(rights):
+    n, reach, depth = len(group), int(hi.max()), max(map(len, rights))
+    right, size = np.zeros((n, depth), np.uint8), np.array([len(r) for r in rights])
+    left = np.full((n, reach), 256, np.int16)
+    for i, (b, r) in enumerate(zip(lefts, rights)):
         right[i, : len(r)] = np.frombuffer(r, np.uint8)
-    left = np.full((n, hi - 1), 256, np.int16) if hi > 1 else np.zeros((n, 0), np.int16)
-    for i, b in enumerate(lefts):
         if b:
             left[i, : len(b)] = np.frombuffer(b, np.uint8)[::-1]
-    # suffix order at the anchors: by group, then right context; lcp with the one before
-    keyed = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), right], axis=1)
-    order = np.argsort(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), kind="stable")
-    a, b = right[order[1:]], right[order[:-1]]
-    differ = a != b
-    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
-    lcp[group[order[1:]] != group[order[:-1]]] = -1
-    active, lcp = order, np.concatenate([[-1], lcp])
-    name = np.unique(group[active], return_inverse=True)[1]  # equal for rows of a group that share the left bytes so far
-    for start in range(hi):
-        if start:
-            name = np.unique(name * 257 + left[active, start - 1], return_inverse=True)[1]
-        stay = np.bincount(name)[name] > 1  # what shares its left bytes with nothing has no further repeats
+    # the suffix order at the anchors: by group, bytes that follow, then size, so that a suffix comes after its own prefixes
+    keyed = np.concatenate([group.astype(">u8").view(np.uint8).reshape(n, 8), right, size.astype(">u8").view(np.uint8).reshape(n, 8)], axis=1)
+    rows = np.argsort(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}").ravel(), kind="stable")
+    name, held = np.unique(group[rows], return_inverse=True)[1], np.zeros(n, np.int64)
+    nearest, factor = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    matched, previous = np.zeros((n, reach), np.int16), np.zeros((n, reach), np.int16)
+    for a in range(reach):
+        if a:
+            stay = hi[rows] > a
+            rows, name, held, nearest, factor = rows[stay], name[stay], held[stay], nearest[stay], factor[stay]
+            if not len(rows):
+                break
+            name = np.unique(name * 512 + left[rows, a - 1], return_inverse=True)[1]
+            if (name[1:] < name[:-1]).any():
+                order = np.argsort(name, kind="stable")
+                rows, name, held, nearest, factor = rows[order], name[order], held[order], nearest[order], factor[order]
+        count = np.bincount(name)
+        stay = count[name] > 1  # what shares its left bytes with nothing has no matches further to the left
         if not stay.any():
             break
-        if not stay.all():
-            index = np.flatnonzero(stay)  # the lcp over dropped rows is the least of those passed
-            edges = np.stack([np.concatenate([[0], index[:-1] + 1]), index + 1], axis=1).ravel()
-            lcp = np.minimum.reduceat(np.append(lcp, 1 << 30), edges)[::2]
-            active, name = active[stay], name[stay]
-        if start < lo:
-            continue
-        need = length - start
-        prefix = np.cumsum(lcp < need)  # equal for rows whose right contexts agree on `need` bytes: neighbours in suffix order
-        fits = size[active] >= need
-        if start:
-            fits &= left[active, start - 1] < 256
-        mine = np.flatnonzero(fits)
-        same, copies = np.unique(name[mine] * (n + 1) + prefix[mine], return_inverse=True, return_counts=True)[1:]
-        rows = active[mine]
-        repeats[rows[copies[same] > 1], start - lo] = True
-        first = np.full(len(copies), n, np.int64)
-        np.minimum.at(first, same, rows)
-        later[rows[rows > first[same]], start - lo] = True
-    return repeats, later
-
-
-FLAGGED = "digest binary, begin int, end int, later boolean"
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
-
-
-def flagged(rows: DataFrame, length: int) -> DataFrame:
-    """Covered ranges of each text: unions of strings that repeat; later: those that repeat an earlier one."""
+        rows, name, held, nearest, factor = rows[stay], name[stay], held[stay], nearest[stay], factor[stay]
+        new = count[name] != held  # the suffix order of a class changes only where it loses rows
+        if new.any():
+            mine, of = rows[new], name[new]
+            lcp = np.full(len(mine), -1, np.int64)
+            inside = np.flatnonzero(of[1:] == of[:-1]) + 1
+            x, y = mine[inside], mine[inside - 1]
+            differ = right[x] != right[y]
+            lcp[inside] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), depth), np.minimum(size[x], size[y]))
+            nearest[new] = np.maximum(lcp, np.append(lcp[1:], -1))
+            factor[new] = previous_factors(mine, lcp, int(count.max()))
+            held[new] = count[name[new]]
+        use = lo[rows] <= a
+        matched[rows[use], a] = nearest[use] + a
+        previous[rows[use], a] = np.where(factor[use] >= 0, factor[use] + a, 0)
+    return matched, previous
+
+
+def flagged(rows: DataFrame, length: int, least: int) -> DataFrame:
+    """Covered ranges of each text: unions of strings of one kind."""
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for span in sorted({(r[4], r[5]) for r in held}):
-            mine = [r for r in held if (r[4], r[5]) == span]
-            names: dict[bytes, int] = {}
-            group = np.array([names.setdefault(r[0], len(names)) for r in mine], np.int64)
-            repeats, later = judge(group, *span, [r[6] for r in mine], [r[7] for r in mine], length)
-            for flags, kind in ((repeats, False), (later, True)):
-                for i in np.flatnonzero(flags.any(axis=1)):
-                    at = mine[i][3]
-                    for lo, hi in _runs(flags[i]):  # the strings that start at - (span[0] + hi - 1) .. at - (span[0] + lo)
-                        out.append((mine[i][2], at - span[0] - hi + 1, at - span[0] - lo + length, kind))
+        names: dict[bytes, int] = {}
+        group = np.array([names.setdefault(r[0], len(names)) for r in held], np.int64)
+        lo, hi = (np.array([r[i] for r in held], np.int64) for i in (5, 6))
+        matched, previous = judge(group, lo, hi, [r[7] for r in held], [r[8] for r in held])
+        kinds, out = np.array([r[1] for r in held]), []
+        for kind, found, size in ((REMOVED, matched, length), (LATER, previous, length), (SHORT, matched, least)):
+            asked = (kinds == EITHER) | (kinds == (SHORT if kind == SHORT else REMOVED))
+            flags = np.pad((found >= size) & asked[:, None], ((0, 0), (1, 1))).astype(np.int8)
+            edges = np.diff(flags, axis=1)
+            # the strings that start at the distances x <= a < y, both ends of each run in order of rows
+            for (i, x), (_, y) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist()):
+                at = held[i][4]
+                out.append((held[i][3], at - y + 1, at - x + size, kind))
         if out:
-            yield _batch(out, (pa.binary(), pa.int32(), pa.int32(), pa.bool_()), FLAGGED)
+            yield _batch(out, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), FLAGGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:5] == held[-1][:5]:
+                if held and row[:6] == held[-1][:6]:
                     continue  # the same place of the same text, from a repeated row
                 if len(held) >= ROWS and row[0] != held[-1][0]:
                     yield from solve(held)
@@ -295,60 +351,144 @@ def flagged(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return rows.repartition("grp").sortWithinPartitions("grp", "rank", "digest", "at").mapInArrow(run, FLAGGED)
+    return rows.repartition("grp").sortWithinPartitions("grp", "rank", "digest", "at", "lo").mapInArrow(run, FLAGGED)
 
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string"
+def strings(rows: DataFrame, length: int, least: int) -> DataFrame:
+    """A row for each single start of the context rows: the digest of its string."""
+    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, kind, rank, digest, at, lo, hi, lft, rgt in zip(*(c.to_pylist() for c in batch.columns)):
+                around, size = lft + rgt, least if kind == SHORT else length
+                for a in range(lo, hi):
+                    begin = len(lft) - a
+                    if begin + size <= len(around):
+                        out.append((xxhash.xxh3_128_digest(around[begin : begin + size]), kind, rank, digest, at - a))
+            if out:
+                yield _batch(out, kinds, STRINGS)
 
+    return rows.mapInArrow(run, STRINGS)
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False) -> DataFrame:
+
+def flagged_strings(rows: DataFrame, length: int, least: int) -> DataFrame:
+    """What flagged() gives, for groups of any size: classes of equal strings are counted, never held together.
+
+    In the suffix order of whole strings a class is a run of equal ones, and the previous factor of all but the first in the text is
+    the whole string.
+    """
+    single = materialize(strings(rows, length, least), "strings")
+    place = F.struct("rank", "digest", "start")
+    classes = single.groupBy("cls", "kind").agg(F.min(place).alias("leader"), F.max(place).alias("last")).filter(F.col("leader") != F.col("last")).select("cls", "kind", "leader")
+    found = single.join(broadcast_if_small(materialize(classes, "classes")), ["cls", "kind"])
+    end = F.col("start") + F.when(F.col("kind") == SHORT, least).otherwise(length)
+    every = found.select("digest", F.col("start").alias("begin"), end.alias("end"), "kind")
+    later = found.filter((F.col("kind") == REMOVED) & (place != F.col("leader"))).select("digest", F.col("start").alias("begin"), end.alias("end"), F.lit(LATER).alias("kind"))
+    return every.unionByName(later)
+
+
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed string, n_later long, n_repeated long"
+
+
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, least: int | None = None) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, digest of the rest, and the runs as start:end of bytes.
 
-    keep_first=False removes every string that repeats anywhere; True only later copies, in order of the least doc_id of a
-    text. A null text counts as empty; a null doc_id stays null and comes last; repeated rows are copies of each other; an
+    keep_first=False removes every string of ``length`` that repeats anywhere; True only later copies, by the longest previous factor in
+    order of the least doc_id of a text. n_later counts the bytes of later copies either way, n_repeated those in any string
+    of ``least`` bytes (LEAST, where length allows) that stands elsewhere, too.
+
+    A null text counts as empty; a null doc_id stays null and comes last; repeated rows are copies of each other; an
     empty table gives none.
     """
+    least = min(length, LEAST) if least is None else least
     own = documents(docs).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     own = own.withColumn("digest", F.unhex(F.md5("body")))
     # equal texts count once, by the least id: of two copies all strings repeat, so only one of them is searched
     rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    groups = own.filter(F.length("body") >= length).select("digest", rank.alias("rank")).groupBy("digest").agg(F.min("rank").alias("rank"), F.count("*").alias("copies"))
-    groups = materialize(groups, "texts")
-    every = materialize(find_anchors(own.select("digest", "body"), length, gram), "anchors")
-    found = every.filter("gram IS NOT NULL").select("gram", "digest", "at")
-    # the strings of a periodic stretch repeat within it; those of its first period are its earliest
-    begin = F.col("at") + (F.col("period") if keep_first else F.lit(0))
-    periodic = every.filter("gram IS NULL").select("digest", begin.alias("begin"), F.col("upto").alias("end")).distinct()
+    groups = materialize(own.filter(F.length("body") >= least).select("digest", rank.alias("rank")).groupBy("digest").agg(F.min("rank").alias("rank"), F.count("*").alias("copies")), "texts")
+    copied = materialize(groups.filter("copies > 1").select(F.col("digest").alias("_copy"), F.col("rank").alias("_first")), "copied")
+    alone = own.join(broadcast_if_small(copied), F.col("digest") == F.col("_copy"), "left").filter(F.col("_copy").isNull() | (rank == F.col("_first")))
+    every = materialize(find_anchors(alone.select("digest", "body"), length, least, gram), "anchors")
+    found = every.filter("gram IS NOT NULL")
+    stretches = every.filter("gram IS NULL").select("digest", "first", "end", "period").distinct()
     place = F.struct("digest", "at")
     frequent = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter(F.col("a") != F.col("b")).select("gram", (F.col("n") > GROUP).alias("hot"))
-    wanted = found.join(frequent, "gram").groupBy("digest").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("found")).join(groups.select("digest", "rank"), "digest")
-    searched = own.select(own["digest"].alias("_digest"), rank.alias("_rank"), "body").join(wanted, (F.col("_digest") == F.col("digest")) & (F.col("_rank") == F.col("rank")))
-    spans = flagged(contexts(searched.select("digest", "rank", "body", "found"), length, gram), length).filter(F.col("later") == F.lit(keep_first)).select("digest", "begin", "end").unionByName(periodic)
-    merged = spans.groupBy("digest").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    # a stretch tells that the starts after its first period repeat
+    told = stretches.filter(F.col("end") - F.col("first") >= length + F.col("period")).select("digest", F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("gram"), (F.col("first") + F.col("period")).alias("first"), (F.col("end") - F.lit(length - 1)).alias("end"), F.lit(False).alias("hot")).alias("x"))
+    repeated = found.join(frequent, "gram").select("digest", F.struct("at", "gram", "first", "end", "hot").alias("x"))
+    wanted = repeated.unionByName(told).groupBy("digest").agg(F.collect_set("x").alias("found")).join(groups.select("digest", "rank"), "digest")
+    searched = alone.select(F.col("digest").alias("_digest"), rank.alias("_rank"), "body").join(wanted, (F.col("_digest") == F.col("digest")) & (F.col("_rank") == F.col("rank")))
+    around = materialize(contexts(searched.select("digest", "rank", "body", "found"), length, least), "contexts")
+    # of a frequent k-gram's groups, those that are still too large for one place
+    large = materialize(around.filter(F.col("kind") != EITHER).groupBy("grp").count().filter(F.col("count") > GROUP).select("grp"), "large")
+    spans = flagged(around.join(broadcast_if_small(large), "grp", "left_anti"), length, least)
+    if large.take(1):
+        spans = spans.unionByName(flagged_strings(around.filter(F.col("kind") != EITHER).join(broadcast_if_small(large), "grp", "left_semi"), length, least))
+    # the strings of a periodic stretch repeat within it; those of its first period are its earliest
+    size = F.col("end") - F.col("first") - F.col("period")
+    reaches = size >= length
+    within = F.array(
+        F.when(reaches, F.struct("first", "end", F.lit(REMOVED).alias("kind"))),
+        F.when(reaches, F.struct((F.col("first") + F.col("period")).alias("first"), "end", F.lit(LATER).alias("kind"))),
+        F.struct("first", "end", F.lit(SHORT).alias("kind")),
+    )
+    periodic = stretches.select("digest", F.explode(within).alias("s")).filter("s IS NOT NULL").select("digest", F.col("s.first").alias("begin"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"))
+    merged = united(spans.unionByName(periodic)).groupBy("digest").agg(F.collect_list(F.struct("begin", "end", "kind")).alias("spans"))
     known = materialize(groups.join(merged, "digest", "left").filter("copies > 1 OR spans IS NOT NULL"), "spans")
+    small = memory_mb(known) <= BROADCAST_MB
     known = known.select(F.col("digest").alias("_digest"), "rank", "copies", "spans")
-    small = size_mb(known) <= BROADCAST_MB
     joined = own.join(F.broadcast(known) if small else known, own["digest"] == F.col("_digest"), "left").select("doc_id", "body", "rank", "copies", "spans")
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cover(size: int, spans: list[dict], kind: int, whole: bool) -> np.ndarray:
+            edge = np.zeros(size + 1, np.int32)
+            for s in spans:
+                if s["kind"] == kind:
+                    edge[s["begin"]] += 1
+                    edge[s["end"]] -= 1
+            return (np.cumsum(edge[:-1]) > 0) | whole
+
+        kinds = (pa.int64(),) * 4 + (pa.string(), pa.string()) + (pa.int64(),) * 2
         for batch in batches:
             out = []
             for doc, body, rank, copies, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                cover = np.zeros(len(body) + 1, np.int32)
-                whole = copies is not None and copies > 1 and (not keep_first or doc != rank)
-                for s in [{"begin": 0, "end": len(body)}] if whole else spans or ():
-                    cover[s["begin"]] += 1
-                    cover[s["end"]] -= 1
-                gone = np.cumsum(cover[:-1]) > 0
-                runs = _runs(gone)
-                kept, at = hashlib.sha256(), 0
-                for a, b in runs:
+                n, spans, copied = len(body), spans or [], copies is not None and copies > 1
+                # a copied text repeats as a whole, if a string of the length asked fits into it
+                later = cover(n, spans, LATER, copied and n >= length and doc != rank)
+                gone = later if keep_first else cover(n, spans, REMOVED, copied and n >= length)
+                short = cover(n, spans, SHORT, copied and n >= least)
+                kept, at, parts = hashlib.sha256(), 0, _runs(gone)
+                for a, b in parts:
                     kept.update(body[at:a])
                     at = b
                 kept.update(body[at:])
-                out.append((doc, len(body), int(gone.sum()), len(runs), kept.hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)))
+                out.append((doc, n, int(gone.sum()), len(parts), kept.hexdigest(), ",".join(f"{a}:{b}" for a, b in parts), int(later.sum()), int(short.sum())))
             if out:
-                kinds = (pa.int64(),) * 4 + (pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in REPORT.split(", ")])
+                yield _batch(out, kinds, REPORT)
 
     return joined.mapInArrow(report, REPORT)
+
+
+def united(spans: DataFrame) -> DataFrame:
+    """Spans of each kind with those that overlap as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32())
+        for batch in batches:
+            out = []
+            for digest, begin, end, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0] == digest and held[3] == kind and begin <= held[2]:
+                    held[2] = max(held[2], end)
+                else:
+                    if held:
+                        out.append(tuple(held))
+                    held = [digest, begin, end, kind]
+            if out:
+                yield _batch(out, kinds, FLAGGED)
+        if held:
+            yield _batch([tuple(held)], kinds, FLAGGED)
+
+    return spans.select("digest", "begin", "end", "kind").repartition("digest").sortWithinPartitions("digest", "kind", "begin").mapInArrow(run, FLAGGED)

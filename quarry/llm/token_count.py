@@ -33,6 +33,8 @@ FREE, IN_LETTERS, IN_OTHER, AFTER_QUOTE, AFTER_ERE, AFTER_ELL = range(6)
 #: What a transition emits: a pre-token begins here; one begins a character earlier (known only now); both.
 NOTHING, HERE, BEFORE, BOTH = range(4)
 CHUNK = 512
+#: Characters of the longest words that are remembered.
+KEPT = 64
 
 
 def splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ def boundaries(kinds: np.ndarray) -> np.ndarray:
 class Transducer:
     """Counts the tokens of one pre-token of a byte-pair vocabulary with word ends."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, end: str, states: int = 300_000):
+    def __init__(self, vocab: dict[str, int], merges: list, end: str, states: int = 100_000):
         self._ranks = {(a, b): i for i, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges)}
         self._end, self._bound = end, states
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -197,13 +199,25 @@ class Transducer:
             self._ends.append({})
         return known, change
 
+    def _restart(self, state: int) -> int:
+        """Forgets all states but the one a word stands in, so a word of any length keeps within the bound."""
+        held = self._open[state]
+        self.clear()
+        if state == 0:
+            return 0
+        self._states[held] = len(self._open)
+        self._open.append(held)
+        self._moves.append({})
+        self._ends.append({})
+        return len(self._open) - 1
+
     def count(self, word: bytes) -> int:
-        if len(self._open) > self._bound:
-            self.clear()
         state = total = 0
         for b in word[:-1]:
             move = self._moves[state].get(b)
             if move is None:
+                if len(self._open) > self._bound:
+                    state = self._restart(state)
                 move = self._moves[state][b] = self._step(state, self._char[b], False)
             state, change = move
             total += change
@@ -262,9 +276,11 @@ class Counter:
             word = whole[s:e]
             n = known.get(word)
             if n is None:
-                if len(known) >= self._bound:
-                    known.clear()
-                n = known[word] = self._transducer.count(word.encode("utf-8", "replace"))
+                n = self._transducer.count(word.encode("utf-8", "replace"))
+                if len(word) <= KEPT:
+                    if len(known) >= self._bound:
+                        known.clear()
+                    known[word] = n
             found.append(n)
         sums = np.concatenate([[0], np.cumsum(np.array(found, np.int64))])
         edges = np.cumsum([len(p) + 1 for p in parts])
@@ -273,6 +289,12 @@ class Counter:
         return total
 
 
+@lru_cache(2)
+def counter(path: str) -> Counter:
+    """Compiled once in each worker, however many tasks it runs."""
+    return Counter(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every whole text.
 
@@ -280,9 +302,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        count = counter(tokenizer).counts
         for ids, texts in text_chunks(batches):
-            n = counter.counts(texts)
+            n = count(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return documents(docs).mapInArrow(run, COUNTS)

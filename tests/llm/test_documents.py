@@ -193,7 +193,7 @@ def test_boilerplate_lines(spark, edges):
     rows = [(i, f"menu\nown {i}\n\nfooter {i % 2}", "en", "a") for i in range(20)] + [(100 + i, f"menu\nb {i}", "en", "b") for i in range(3)] + [(200 + i, "x\nmenu", "en", None) for i in range(6)] + [(300, None, "en", "a"), (301, "", None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id: r for r in lines.drop_boilerplate(df).collect()}
-    assert kept[3].text == "own 3\n" and kept[101].text == "menu\nb 1" and kept[203].text == "" and kept[300].text is None and kept[301].text == "" and kept[3]._dropped == 2
+    assert kept[3].text == "own 3\n" and kept[101].text == "b 1" and kept[203].text == "" and kept[300].text is None and kept[301].text == "" and kept[3]._dropped == 2
     assert lines.drop_boilerplate(edges).columns == [*edges.columns, "_lines", "_dropped"]
     assert lines.line_report(edges).count() == len(EDGES) and lines.line_report(edges.limit(0)).count() == 0
 
