@@ -34,6 +34,8 @@ GROUP = 1000
 RANGE = 32
 #: Rows that are solved together.
 ROWS = 10_000
+#: Classes of very common strings that each task looks up for itself.
+HELD = 200_000
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -354,19 +356,22 @@ def flagged(rows: DataFrame, length: int, least: int) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp", "rank", "digest", "at", "lo").mapInArrow(run, FLAGGED)
 
 
+def starts_of(row: tuple, length: int, least: int) -> Iterator[tuple[bytes, int]]:
+    """(digest of the string, its start) for each single start of a context row."""
+    _, kind, _, _, at, lo, hi, lft, rgt = row
+    around, size = lft + rgt, least if kind == SHORT else length
+    for a in range(hi - 1, lo - 1, -1):  # in order of the text
+        begin = len(lft) - a
+        if begin + size <= len(around):
+            yield xxhash.xxh3_128_digest(around[begin : begin + size]), at - a
+
+
 def strings(rows: DataFrame, length: int, least: int) -> DataFrame:
-    """A row for each single start of the context rows: the digest of its string."""
     kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, kind, rank, digest, at, lo, hi, lft, rgt in zip(*(c.to_pylist() for c in batch.columns)):
-                around, size = lft + rgt, least if kind == SHORT else length
-                for a in range(lo, hi):
-                    begin = len(lft) - a
-                    if begin + size <= len(around):
-                        out.append((xxhash.xxh3_128_digest(around[begin : begin + size]), kind, rank, digest, at - a))
+            out = [(cls, row[1], row[2], row[3], start) for row in zip(*(c.to_pylist() for c in batch.columns)) for cls, start in starts_of(row, length, least)]
             if out:
                 yield _batch(out, kinds, STRINGS)
 
@@ -377,15 +382,40 @@ def flagged_strings(rows: DataFrame, length: int, least: int) -> DataFrame:
     """What flagged() gives, for groups of any size: classes of equal strings are counted, never held together.
 
     In the suffix order of whole strings a class is a run of equal ones, and the previous factor of all but the first in the text is
-    the whole string.
+    the whole string. So many classes as HELD are looked up by each task, which gives a row for each run of starts; more are joined.
     """
-    single = materialize(strings(rows, length, least), "strings")
+    single = strings(rows, length, least)
     place = F.struct("rank", "digest", "start")
-    classes = single.groupBy("cls", "kind").agg(F.min(place).alias("leader"), F.max(place).alias("last")).filter(F.col("leader") != F.col("last")).select("cls", "kind", "leader")
-    found = single.join(broadcast_if_small(materialize(classes, "classes")), ["cls", "kind"])
+    classes = single.groupBy("cls", "kind").agg(F.min(place).alias("leader"), F.max(place).alias("last")).filter(F.col("leader") != F.col("last"))
+    classes = materialize(classes.select("cls", "kind", F.col("leader.digest").alias("first_text"), F.col("leader.start").alias("first_start")), "classes")
+    if classes.limit(HELD + 1).count() <= HELD:
+        known = rows.sparkSession.sparkContext.broadcast({(bytes(r.cls), r.kind): bytes(r.first_text) + r.first_start.to_bytes(4, "little") for r in classes.collect()})  # HELD rows at most
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaders = known.value
+            for batch in batches:
+                out: list[list] = []
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    kind, digest, size, last = row[1], row[3], least if row[1] == SHORT else length, {}
+                    for cls, start in starts_of(row, length, least):
+                        leader = leaders.get((cls, kind))
+                        if leader is None:
+                            continue
+                        for what in (kind, LATER) if kind == REMOVED and leader != digest + start.to_bytes(4, "little") else (kind,):
+                            if what in last and last[what][2] - size >= start - 1:
+                                last[what][2] = start + size
+                            else:
+                                last[what] = [digest, start, start + size, what]
+                                out.append(last[what])
+                if out:
+                    yield _batch(out, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), FLAGGED)
+
+        return rows.mapInArrow(look_up, FLAGGED)
+    found = single.join(classes, ["cls", "kind"])
     end = F.col("start") + F.when(F.col("kind") == SHORT, least).otherwise(length)
     every = found.select("digest", F.col("start").alias("begin"), end.alias("end"), "kind")
-    later = found.filter((F.col("kind") == REMOVED) & (place != F.col("leader"))).select("digest", F.col("start").alias("begin"), end.alias("end"), F.lit(LATER).alias("kind"))
+    first = (F.col("digest") == F.col("first_text")) & (F.col("start") == F.col("first_start"))
+    later = found.filter((F.col("kind") == REMOVED) & ~first).select("digest", F.col("start").alias("begin"), end.alias("end"), F.lit(LATER).alias("kind"))
     return every.unionByName(later)
 
 
@@ -415,6 +445,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first
     stretches = every.filter("gram IS NULL").select("digest", "first", "end", "period").distinct()
     place = F.struct("digest", "at")
     frequent = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter(F.col("a") != F.col("b")).select("gram", (F.col("n") > GROUP).alias("hot"))
+    frequent = broadcast_if_small(materialize(frequent, "frequent"))
     # a stretch tells that the starts after its first period repeat
     told = stretches.filter(F.col("end") - F.col("first") >= length + F.col("period")).select("digest", F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("gram"), (F.col("first") + F.col("period")).alias("first"), (F.col("end") - F.lit(length - 1)).alias("end"), F.lit(False).alias("hot")).alias("x"))
     repeated = found.join(frequent, "gram").select("digest", F.struct("at", "gram", "first", "end", "hot").alias("x"))

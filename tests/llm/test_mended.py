@@ -142,9 +142,10 @@ def test_previous_factors_of_a_suffix_order():
         assert got.tolist() == [max((common(i, j) for j in range(i)), default=-1) for i in order]
 
 
-@pytest.mark.parametrize("group", [1000, 4])
-def test_later_copies_and_shorter_repeats(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "held"), [(1000, 9), (4, 200_000), (4, 0)])
+def test_later_copies_and_shorter_repeats(spark, monkeypatch, group, held):
     monkeypatch.setattr(substring, "GROUP", group)
+    monkeypatch.setattr(substring, "HELD", held)
     texts = repeated_texts()
     bodies = [(t or "").encode() for t in texts]
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, digest string, rank int, gram int").repartition(3)
