@@ -186,18 +186,21 @@ def latent(n: int, df: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((idf[:, None] * u / s).T.astype(np.float32))
 
 
-def project(h: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, first word, document) of windows of two blocks, one beginning at each block; a short document is one window."""
+def project(h: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(unit vectors, first word, document) of windows of two blocks, one beginning at each block, and the signatures of all blocks with
+    their documents; a short document is one window.
+    """
     if not len(h):
-        return np.zeros((0, len(table)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, doc, _, term, weight, starts = blocks(h, ends, BLOCK)
+        none = np.zeros(0, np.int64)
+        return np.zeros((0, len(table)), np.float32), none, none, (np.zeros((0, MARKS // 64), np.uint64), none, none)
+    first, doc, of, term, weight, starts = blocks(h, ends, BLOCK)
     x = np.ascontiguousarray(segment_sums(table, term, weight, starts).T)
     more = np.concatenate([doc[1:] == doc[:-1], [False]])
     lone = ~more & np.concatenate([[True], doc[1:] != doc[:-1]])
     windows = x.copy()
     windows[more] += x[1:][more[:-1]]
     use = more | lone
-    return unit(windows[use]), first[use], doc[use]
+    return unit(windows[use]), first[use], doc[use], (signatures(term, of, len(first)), doc, np.flatnonzero(use))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -231,6 +234,11 @@ def signatures(term: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(marks, axis=1).view(np.uint64)
 
 
+def folded(marks: np.ndarray) -> np.ndarray:
+    """A quarter of the bits, each set where one of four is: an item's folded bits that a text lacks are at most those that it lacks."""
+    return np.bitwise_or.reduce(marks.reshape(len(marks), 4, -1), axis=1)
+
+
 class Item:
     """A benchmark item: bit masks of its words for bit-parallel longest common subsequences."""
 
@@ -285,33 +293,34 @@ class Searcher:
         self.size = np.array([x.size for x in self.items])
         of = np.repeat(np.arange(len(items)), self.size)
         self.marks = signatures(terms(h), of, len(items))
+        self.folded = folded(self.marks)
         self.reach = -(-self.size // BLOCK)
 
     def find(self, texts: list[str]) -> dict[tuple[int, int], tuple]:
         """{(text, item): (cosine, share in order, answer found, first and end word)} of all matches."""
         h, ends = words(texts)
-        x, first, doc = project(h, ends, self.table)
+        x, first, doc, (marks, owner, block) = project(h, ends, self.table)
         best: dict[tuple[int, int], tuple] = {}
         if not len(x) or not len(self.probes):
             return best
         begins = np.concatenate([[0], ends[:-1]])
-        start, owner, of, term, _, _ = blocks(h, ends, BLOCK)
-        marks = signatures(term, of, len(start))
-        block = np.searchsorted(start, first)
-        around: dict[int, np.ndarray] = {}
+        around: dict[int, tuple] = {}
         for lo in range(0, len(x), 8192):
             cosine = x[lo : lo + 8192] @ self.probes.T
             window, probed = np.nonzero(cosine >= COSINE)
             item, value = self.of[probed], cosine[window, probed]
             window += lo
+            may = np.zeros(len(item), bool)
             for reach in np.unique(self.reach[item]).tolist():
                 if reach not in around:
-                    around[reach] = spread(marks, owner, reach)
-            lost = np.empty(len(item), np.int64)
-            for reach in np.unique(self.reach[item]).tolist():
-                mine = self.reach[item] == reach
-                lost[mine] = np.bitwise_count(self.marks[item[mine]] & ~around[reach][block[window[mine]]]).sum(axis=1, dtype=np.int64)
-            may = np.flatnonzero(lost <= (1 - WITH_ANSWER) * self.size[item] + 1e-9)
+                    wide = spread(marks, owner, reach)
+                    around[reach] = folded(wide), wide
+                mine = np.flatnonzero(self.reach[item] == reach)
+                for own, there in zip((self.folded, self.marks), around[reach]):  # a coarse bound for all, the fine one for what is left
+                    lost = np.bitwise_count(own[item[mine]] & ~there[block[window[mine]]]).sum(axis=1, dtype=np.int64)
+                    mine = mine[lost <= (1 - WITH_ANSWER) * self.size[item[mine]] + 1e-9]
+                may[mine] = True
+            may = np.flatnonzero(may)
             # of a window and an item once, with the highest cosine of the item's windows
             may = may[np.lexsort((-value[may], item[may], window[may]))]
             pair = window[may] * len(self.items) + item[may]

@@ -234,7 +234,7 @@ def _search(vectors: DataFrame, asked: DataFrame, dim: int, n: int, k: int, keep
     shards = -(-n // min(SHARD, fit))
     wanted = materialize(vectors.join(asked.select("vkey").distinct(), "vkey", "left_semi"), "queries")
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-wanted.count() // min(BLOCK, fit)), min(4 * cores // shards, n // 256))
+    blocks = max(1, -(-wanted.count() // min(BLOCK, fit)), min(2 * cores // shards, n // 256))
     index = _packed(vectors, shards, "shard").select("shard", "body", "ids")
     grid = _packed(wanted, blocks, "block").select("block", F.col("vkeys").alias("q_keys"), F.col("body").alias("q_body"))
     # every block of the stated queries goes to every shard: units of work of bounded size

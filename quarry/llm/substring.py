@@ -32,8 +32,8 @@ GRAM = 48
 GROUP = 1000
 #: Starts of so many neighbouring distances from an anchor of a frequent k-gram go together.
 RANGE = 32
-#: Rows that are solved together.
-ROWS = 10_000
+#: Rows that are solved together, and bytes of a long text whose anchors are found at a time.
+ROWS, BLOCK = 5_000, 1 << 19
 #: Classes of very common strings that each task looks up for itself.
 HELD = 200_000
 
@@ -104,9 +104,8 @@ def anchors(data: np.ndarray, length: int = LENGTH, least: int = LEAST, gram: in
     A gram with a short period of its own comes after all others, so it is chosen only within long periodic stretches. There only the
     strings of the first period have anchors: those after it repeat them, which the stretch itself says.
     """
-    if len(data) > 1 << 27:  # in blocks that share a string but for its first byte, so no start is missed
-        half = 1 << 26
-        parts = [(i, anchors(data[i : i + half + least - 1], length, least, gram)) for i in range(0, len(data), half)]
+    if len(data) > 2 * BLOCK:  # in blocks that share a string but for its first byte, so no start is missed
+        parts = [(i, anchors(data[i : i + BLOCK + least - 1], length, least, gram)) for i in range(0, len(data), BLOCK)]
         columns = [np.concatenate([p[c] + (0 if c == 1 else i) for i, p in parts]) for c in range(4)]
         return columns[0], columns[1].view(np.uint64), columns[2], columns[3], [(a + i, b + i, p) for i, part in parts for a, b, p in part[4]]
     h = gram_hashes(data, gram)
@@ -165,7 +164,7 @@ def find_anchors(texts: DataFrame, length: int, least: int, gram: int) -> DataFr
                 key, none = digest.as_py(), [None] * len(long)
                 for column, values in zip(rows, (h.view(np.int64).tolist() + none, [key] * (len(places) + len(long)), places.tolist() + none, first.tolist() + [x[0] for x in long], end.tolist() + [x[1] for x in long], [None] * len(places) + [x[2] for x in long])):
                     column += values
-                if len(rows[0]) >= 50_000:
+                if len(rows[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=[c.split()[0] for c in ANCHORS.split(", ")])
                     rows = [[], [], [], [], [], []]
             if rows[0]:
