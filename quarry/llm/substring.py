@@ -29,7 +29,7 @@ LEAST = 256
 GRAM = 48
 #: Anchors of a k-gram that stay together. Those of more frequent ones are parted by what their strings have in common, and starts
 #: that still meet too many others are compared by digests of their strings, which need no common place.
-GROUP = 1000
+GROUP = 500
 #: Starts of so many neighbouring distances from an anchor of a frequent k-gram go together.
 RANGE = 32
 #: Rows that are solved together, and bytes of a long text whose anchors are found at a time.
@@ -377,16 +377,39 @@ def strings(rows: DataFrame, length: int, least: int) -> DataFrame:
     return rows.mapInArrow(run, STRINGS)
 
 
+def string_classes(rows: DataFrame, length: int, least: int) -> DataFrame:
+    """The classes of equal strings with two places at least: cls, kind, and the first place. Equal strings are combined in each batch,
+    so a very common one gives few rows.
+    """
+    kinds = (pa.binary(), pa.int32(), *(pa.int64(), pa.binary(), pa.int32()) * 2)
+    schema = "cls binary, kind int, rank long, digest binary, start int, rank2 long, digest2 binary, start2 int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[bytes, int], list] = {}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for cls, start in starts_of(row, length, least):
+                    place = (row[2], row[3], start)
+                    ends = held.setdefault((cls, row[1]), [place, place])
+                    ends[0], ends[1] = min(ends[0], place), max(ends[1], place)
+            if len(held) > 50_000:
+                yield _batch([(*key, *first, *last) for key, (first, last) in held.items()], kinds, schema)
+                held = {}
+        if held:
+            yield _batch([(*key, *first, *last) for key, (first, last) in held.items()], kinds, schema)
+
+    first, last = F.struct("rank", "digest", "start"), F.struct(F.col("rank2").alias("rank"), F.col("digest2").alias("digest"), F.col("start2").alias("start"))
+    both = rows.mapInArrow(run, schema).groupBy("cls", "kind").agg(F.min(first).alias("leader"), F.max(last).alias("last"))
+    return both.filter(F.col("leader") != F.col("last")).select("cls", "kind", F.col("leader.digest").alias("first_text"), F.col("leader.start").alias("first_start"))
+
+
 def flagged_strings(rows: DataFrame, length: int, least: int) -> DataFrame:
     """What flagged() gives, for groups of any size: classes of equal strings are counted, never held together.
 
     In the suffix order of whole strings a class is a run of equal ones, and the previous factor of all but the first in the text is
     the whole string. So many classes as HELD are looked up by each task, which gives a row for each run of starts; more are joined.
     """
-    single = strings(rows, length, least)
-    place = F.struct("rank", "digest", "start")
-    classes = single.groupBy("cls", "kind").agg(F.min(place).alias("leader"), F.max(place).alias("last")).filter(F.col("leader") != F.col("last"))
-    classes = materialize(classes.select("cls", "kind", F.col("leader.digest").alias("first_text"), F.col("leader.start").alias("first_start")), "classes")
+    classes = materialize(string_classes(rows, length, least), "classes")
     if classes.limit(HELD + 1).count() <= HELD:
         known = rows.sparkSession.sparkContext.broadcast({(bytes(r.cls), r.kind): bytes(r.first_text) + r.first_start.to_bytes(4, "little") for r in classes.collect()})  # HELD rows at most
 
@@ -410,7 +433,7 @@ def flagged_strings(rows: DataFrame, length: int, least: int) -> DataFrame:
                     yield _batch(out, (pa.binary(), pa.int32(), pa.int32(), pa.int32()), FLAGGED)
 
         return rows.mapInArrow(look_up, FLAGGED)
-    found = single.join(classes, ["cls", "kind"])
+    found = strings(rows, length, least).join(classes, ["cls", "kind"])
     end = F.col("start") + F.when(F.col("kind") == SHORT, least).otherwise(length)
     every = found.select("digest", F.col("start").alias("begin"), end.alias("end"), "kind")
     first = (F.col("digest") == F.col("first_text")) & (F.col("start") == F.col("first_start"))
