@@ -36,7 +36,7 @@ INVENTED_WARNING = "o modelo citou fonte(s) inexistente(s): {}; removidas da res
 
 TEXT_SUFFIXES = (".md", ".markdown", ".txt", ".rst")
 PDF_SUFFIXES, DOCX_SUFFIXES, SHEET_SUFFIXES, CSV_SUFFIXES = (".pdf",), (".docx",), (".xlsx", ".xlsm"), (".csv", ".tsv")
-IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp")
+IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff", ".tif")
 MAX_BYTES = 50 * 1024 * 1024
 MIN_CHARS_PER_PAGE = 40
 ALLOWED_HOSTS = ("pt.wikipedia.org", "en.wikipedia.org")

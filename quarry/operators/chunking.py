@@ -1,7 +1,13 @@
-"""Section-aware chunking. Each document is cut by itself, so the operator is a map over partitions without a shuffle."""
+"""Section-aware chunking. Each document is cut by itself, so the operator is a map over partitions without a shuffle.
+
+A document is laid out first: its headings divide the lines into sections, blank lines divide those into paragraphs, and a paragraph
+that is too long into runs of sentences. Then the parts of each section are packed in order.
+"""
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +18,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed
 
-_HEADING = re.compile(fixed.HEADING)
+_EQUALS = re.compile(fixed.HEADING)
+_SHARPS = re.compile(r"(#{1,6})\s+(.+?)\s*#*$")
 _BREAK = re.compile(fixed.SENTENCE_BREAK)
 _GAP = "\n\n"
 
@@ -28,76 +35,62 @@ class Sizes:
     """Whether '#' headings count, too."""
 
 
-def paragraphs(text: str, markdown: bool = False) -> Iterator[tuple[str, str]]:
-    """(section trail, paragraph). A heading of n signs replaces the trail from its level on."""
-    trail: list[str] = []
-    lines: list[str] = []
-
-    def close() -> Iterator[tuple[str, str]]:
-        whole = "\n".join(lines).strip()
-        lines.clear()
-        if whole:
-            yield " > ".join(trail), whole
-
-    for line in map(str.rstrip, text.splitlines()):
-        bare = line.strip()
-        heading = _HEADING.match(bare)
-        level, title = (len(heading[1]) - 2, heading[2]) if heading else (0, "")
-        if markdown and not heading and (sharp := re.match(r"(#{1,6})\s+(.+?)\s*#*$", bare)):
-            heading, level, title = sharp, len(sharp[1]) - 1, sharp[2]
-        if heading or not bare:
-            yield from close()
-            if heading:
-                trail[level:] = [title]
-        else:
-            lines.append(line)
-    yield from close()
-
-
-def fitting(paragraph: str, most: int) -> Iterator[str]:
-    """Parts of at most so many characters: whole sentences together where they fit, else cut hard."""
+def heading(line: str, markdown: bool) -> tuple[int, str] | None:
+    """(depth from 0, title) of a line that is a heading."""
+    if m := _EQUALS.match(line):
+        return len(m[1]) - 2, m[2]
+    if markdown and (m := _SHARPS.match(line)):
+        return len(m[1]) - 1, m[2]
+    return None
+
+
+def layout(text: str, markdown: bool = False) -> list[tuple[str, list[str]]]:
+    """(section path, paragraphs) of the sections that hold text, in order; neighbours under one path are one section."""
+    lines = [line.rstrip() for line in text.splitlines()]
+    marks = [(i, found) for i, line in enumerate(lines) if (found := heading(line.strip(), markdown))]
+    paths = list(itertools.accumulate((found for _, found in marks), lambda path, found: (*path[: found[0]], found[1]), initial=()))
+    starts = [0, *(i + 1 for i, _ in marks)]
+    ends = [*(i for i, _ in marks), len(lines)]
+    bodies = ("\n".join(lines[a:b]) for a, b in zip(starts, ends))
+    split = ((" > ".join(path), [p for p in map(str.strip, re.split("\n{2,}", body)) if p]) for path, body in zip(paths, bodies))
+    filled = (section for section in split if section[1])
+    return [(path, [p for _, group in same for p in group]) for path, same in itertools.groupby(filled, key=lambda section: section[0])]
+
+
+def sentence_runs(paragraph: str, most: int) -> list[str]:
+    """The paragraph in parts of at most so many characters: as many whole sentences as fit; a longer sentence is cut first."""
     if len(paragraph) <= most:
-        yield paragraph
-        return
-    held = ""
-    for sentence in _BREAK.split(paragraph):
-        joined = f"{held} {sentence}".strip() if held else sentence
-        if len(joined) <= most:
-            held = joined
-            continue
-        if held:
-            yield held
-        cut = len(sentence) - (len(sentence) - 1) % most - 1 if len(sentence) > most else 0
-        yield from (sentence[i : i + most] for i in range(0, cut, most))
-        held = sentence[cut:]
-    if held:
-        yield held
+        return [paragraph]
+    pieces = [s[i : i + most] for s in _BREAK.split(paragraph) for i in range(0, len(s), most)]
+    reach = [0, *itertools.accumulate(len(p) + 1 for p in pieces)]  # each with the space that follows it
+    out, at = [], 0
+    while at < len(pieces):
+        end = max(at + 1, bisect.bisect_right(reach, reach[at] + most + 1) - 1)
+        out.append(" ".join(pieces[at:end]).strip() if end > at + 1 else pieces[at])
+        at = end
+    return out
+
+
+def packed(parts: list[str], sizes: Sizes) -> list[str]:
+    """Chunks of one section: parts together while they fit, each chunk begun with the end of the one before it where that fits."""
+    chunks: list[list[str]] = [[]]
+    room = sizes.most
+    for part in parts:
+        if len(part) + len(_GAP) * bool(chunks[-1]) > room and chunks[-1]:
+            tail = _GAP.join(chunks[-1])[-sizes.overlap :] if sizes.overlap else ""
+            chunks.append([tail] if tail and len(tail) + len(_GAP) + len(part) <= sizes.most else [])
+            room = sizes.most - len(tail) * bool(chunks[-1])
+        room -= len(part) + len(_GAP) * bool(chunks[-1])
+        chunks[-1].append(part)
+    whole = [_GAP.join(c) for c in chunks if c]
+    if len(whole) > 1 and len(whole[-1]) < sizes.least and len(whole[-2]) + len(_GAP) + len(whole[-1]) <= sizes.most:
+        whole[-2:] = [_GAP.join(whole[-2:])]
+    return whole
 
 
 def cut(text: str, sizes: Sizes = Sizes()) -> list[tuple[str, str]]:
-    """(section trail, chunk): no chunk is longer than most, none crosses sections."""
-    sections: list[tuple[str, list[str]]] = []
-    for trail, paragraph in paragraphs(text, sizes.markdown):
-        if not sections or sections[-1][0] != trail:
-            sections.append((trail, []))
-        sections[-1][1].extend(fitting(paragraph, sizes.most))
-    out: list[tuple[str, str]] = []
-    for trail, parts in sections:
-        held = ""
-        for part in parts:
-            if not held or len(held) + len(_GAP) + len(part) <= sizes.most:
-                held = held + _GAP + part if held else part
-                continue
-            out.append((trail, held))
-            tail = held[-sizes.overlap :] + _GAP if sizes.overlap else ""
-            held = tail + part if len(tail) + len(part) <= sizes.most else part
-        if not held:
-            continue
-        if out and out[-1][0] == trail and len(held) < sizes.least and len(out[-1][1]) + len(_GAP) + len(held) <= sizes.most:
-            out[-1] = (trail, out[-1][1] + _GAP + held)
-        else:
-            out.append((trail, held))
-    return out
+    """(section path, chunk): no chunk is longer than most, none crosses sections."""
+    return [(path, chunk) for path, paragraphs in layout(text, sizes.markdown) for chunk in packed([part for p in paragraphs for part in sentence_runs(p, sizes.most)], sizes)]
 
 
 def chunk_documents(documents: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:

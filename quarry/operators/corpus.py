@@ -23,13 +23,15 @@ def facts(rows: DataFrame) -> DataFrame:
 def citation_pairs(rows: DataFrame) -> DataFrame:
     """citing, cited, seq of the filings whose subject holds another company's short name. rows: facts().
 
-    The names are found by an equi-join: a name occurs only where its first word does, so the subjects' words meet the
-    names' first words and only those are compared; no row meets every name.
+    The names are found by an equi-join: a name occurs only where all its runs of five characters do, so a subject's runs meet the one
+    run of each name that fewest other names have, and only those are compared. Names that begin alike don't meet in it.
     """
     names = rows.groupBy("key").agg(F.max_by("company", "seq").alias("cited")).filter(F.length("key") >= 5)
-    # a name may begin inside a word, so the words of three letters that it must contain are taken from anywhere in it
     gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 4, F.lit(1))), lambda i: F.substring(c, i, 5)))
-    head = names.withColumn("gram", F.substring("key", 1, 5)).withColumnRenamed("key", "name")
+    parts = names.select("key", F.explode(gram(F.col("key"))).alias("gram"))
+    shared = parts.join(parts.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    rarest = shared.groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    head = names.join(rarest, "key").withColumnRenamed("key", "name")
     subjects = rows.select(F.col("company").alias("citing"), F.col("key").alias("own"), "seq", text.fold(F.col("subject")).alias("body"))
     met = subjects.withColumn("gram", F.explode(gram(F.col("body")))).join(head, "gram")
     return met.filter(F.col("body").contains(F.col("name")) & (F.col("name") != F.col("own"))).select("citing", "cited", "seq").distinct()

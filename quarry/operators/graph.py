@@ -42,13 +42,14 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     """One row (hops, path of keys, relations, evidence) or none: breadth first, the lexicographically least among the shortest.
 
     Of each frontier node only the least way there is kept, so a frontier never holds more rows than there are nodes, and a
-    node that was reached before isn't entered again. Nodes of avoided types can't be passed, only ended at.
+    node that was reached before isn't entered again. Nodes of avoided types can't be passed, only ended at. A hop is one scan of the
+    edges that leave the frontier; parallel edges are reduced after it, so edges elsewhere are never shuffled for their own sake.
     """
     max_hops = max(1, min(5, max_hops))
     seq = F.struct("type", "evidence")
     one = edges.select(F.col("source_key").alias("a"), F.col("target_key").alias("b"), seq.alias("edge"))
     both = one if directed else one.unionByName(edges.select(F.col("target_key").alias("a"), F.col("source_key").alias("b"), seq.alias("edge")))
-    links = materialize(both.filter("a <> b").groupBy("a", "b").agg(F.min("edge").alias("edge")), "links")
+    links = both.filter("a <> b")
     barred = nodes.filter(F.col("type").isin(*avoid_types)).select("key") if avoid_types else None
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(source, [source], [])], "at string, path array<string>, steps array<struct<type:string,evidence:string>>")
@@ -56,6 +57,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     for hop in range(1, max_hops + 1):
         moved = frontier.join(links, frontier["at"] == links["a"]).join(seen.withColumnRenamed("at", "_seen"), F.col("b") == F.col("_seen"), "left_anti")
         way = F.struct(F.concat("path", F.array("b")).alias("path"), F.concat("steps", F.array("edge")).alias("steps"))
+        if hop == max_hops:  # nothing follows but the end itself
+            moved = moved.filter(F.col("b") == target)
         reached = materialize(moved.groupBy(F.col("b").alias("at")).agg(F.min(way).alias("way")).select("at", "way.path", "way.steps"), "frontier")
         hit = reached.filter(F.col("at") == target)
         if hit.take(1):

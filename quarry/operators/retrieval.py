@@ -70,6 +70,24 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(text.terms(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
+def matching_postings(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """postings() of the questions' words only, where no index is kept: other words are dropped before anything is counted or shuffled.
+
+    Of more questions than a block, all postings are made: they serve many.
+    """
+    if not _few(queries):
+        return postings(chunks)
+    wanted = [r.term for r in query_terms(queries).select("term").distinct().collect()]  # the words of one block of questions
+    words = F.filter(text.terms(F.col("content"), stop=False), lambda w: w.isin(wanted) if wanted else F.lit(False))
+    return chunks.select("chunk_id", F.explode(words).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+
+
+def lengths(chunks: DataFrame) -> DataFrame:
+    """chunk_id, len: how many words count, for chunks that have any."""
+    counted = chunks.select("chunk_id", F.size(text.terms(F.col("content"))).cast("long").alias("len"))
+    return counted.withColumn("len", F.nullif("len", F.lit(0))).filter("len IS NOT NULL")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term: distinct words of the questions; one of stop words alone has none."""
     return queries.select("query_id", F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
@@ -87,15 +105,15 @@ def _few(queries: DataFrame) -> bool:
     return len(queries.limit(QUERY_BLOCK + 1).select("query_id").collect()) <= QUERY_BLOCK
 
 
-def bm25_search(index: DataFrame, queries: DataFrame, limit: int = fixed.POOL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    lengths = index.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    wanted = query_terms(queries)
+def bm25_search(index: DataFrame, sizes: DataFrame, queries: DataFrame, limit: int = fixed.POOL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """index: postings() or matching_postings(); sizes: lengths(). Either may be a kept table."""
+    totals = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    wanted = F.broadcast(query_terms(queries)) if _few(queries) else query_terms(queries)
     hits = index.join(wanted, "term")
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = hits.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = hits.join(df, "term").join(lengths, "chunk_id").join(F.broadcast(totals)).groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
+    scored = hits.join(df, "term").join(sizes, "chunk_id").join(F.broadcast(totals)).groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
     return top(scored, limit).select(*HITS)
 
 

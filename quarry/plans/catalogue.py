@@ -83,7 +83,8 @@ def _vector_hits(spark, sf_dir):
 
 
 def _lexical_hits(spark, sf_dir):
-    return retrieval.lexical_search(retrieval.postings(inputs.plain_chunks(spark, sf_dir)), _question(spark, sf_dir))
+    asked = _question(spark, sf_dir)
+    return retrieval.lexical_search(retrieval.matching_postings(inputs.plain_chunks(spark, sf_dir), asked), asked)
 
 
 # ---- retrieval ----------------------------------------------------------------------------------------------------
@@ -112,10 +113,11 @@ def lexical_or_rank(spark, sf_dir):
     return _rounded(_lexical_hits(spark, sf_dir), "score").select("chunk_id", "score", "rank")
 
 
-@query("SELECT doc_id AS chunk_id, 0.0::DOUBLE AS score FROM documents WHERE false")
+@query(f"""WITH {_POSTINGS}, asked AS (SELECT unnest(['de', 'o', 'que', 'para']) AS term), wanted AS (SELECT term FROM asked WHERE term NOT IN ({", ".join(f"'{w}'" for w in fixed.STOP_WORDS)}))
+SELECT chunk_id, round(0.1 * sum(tf), 6)::DOUBLE AS score FROM postings JOIN wanted USING (term) GROUP BY 1""")
 def lexical_stopword_only(spark, sf_dir):
     asked = spark.createDataFrame([(0, "de o que para")], "query_id int, text string")
-    return retrieval.lexical_search(retrieval.postings(inputs.plain_chunks(spark, sf_dir)), asked).select("chunk_id", "score")
+    return retrieval.lexical_search(retrieval.matching_postings(inputs.plain_chunks(spark, sf_dir), asked), asked).select("chunk_id", "score")
 
 
 @query(f"""WITH {_POSTINGS}, lengths AS (SELECT chunk_id, sum(tf)::DOUBLE AS len FROM postings WHERE term NOT IN ({", ".join(f"'{w}'" for w in fixed.STOP_WORDS)}) GROUP BY 1), totals AS (SELECT count(*) AS n, avg(len) AS mean FROM lengths),
@@ -123,7 +125,8 @@ wanted AS (SELECT unnest(['the', 'apache', 'license', 'of', 'thon']) AS term), d
 scored AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM postings JOIN df USING (term) JOIN lengths USING (chunk_id), totals GROUP BY 1)
 SELECT chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 20""")
 def lexical_bm25(spark, sf_dir):
-    found = retrieval.bm25_search(retrieval.postings(inputs.plain_chunks(spark, sf_dir)), _question(spark, sf_dir))
+    asked, chunks = _question(spark, sf_dir), inputs.plain_chunks(spark, sf_dir)
+    found = retrieval.bm25_search(retrieval.matching_postings(chunks, asked), retrieval.lengths(chunks), asked)
     return _rounded(found, "score").select("chunk_id", "score", "rank")
 
 

@@ -31,16 +31,20 @@ class HashEmbedder:
         self.dimensions = dimensions
 
     def embed(self, texts: list[str]) -> list[list[float]]:
+        place: dict[str, int] = {}  # each distinct word is hashed once
+        words = [[place.setdefault(w, len(place)) for w in re.findall(r"\w+", t.lower())] for t in texts]
+        digests = [hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in place]
+        at = np.array([int.from_bytes(h[:4], "little") % self.dimensions for h in digests], np.int64)
+        sign = np.array([1 if h[4] & 1 else -1 for h in digests], np.float32)
         out = np.zeros((len(texts), self.dimensions), np.float32)
-        for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-                out[i, int.from_bytes(h[:4], "little") % self.dimensions] += 1 if h[4] & 1 else -1
+        for row, found in zip(out, words):
+            if found:
+                row += np.bincount(at[found], sign[found], self.dimensions)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
 
-def embed(content: Column, embedder: Embedder, batch: int = 16) -> Column:
+def embed(content: Column, embedder: Embedder, batch: int = 256) -> Column:
     """An array<float> column; the embedder is set up once for each task."""
 
     @F.pandas_udf("array<float>")

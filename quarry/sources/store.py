@@ -22,7 +22,11 @@ SCHEMAS = {
 def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """All documents after the write, with status: unchanged (equal content: nothing is written), updated, inserted or kept."""
     key = ["source", "external_id"]
-    new = incoming.withColumn("content_hash", text.content_hash(F.col("content"))).dropDuplicates(key)
+    # of several versions that come at once the last counts: by position, where there is one, then by content
+    last = F.struct(*([F.col("position")] if "position" in incoming.columns else []), F.col("content_hash"))
+    hashed = incoming.withColumn("content_hash", text.content_hash(F.col("content")))
+    rest = [c for c in hashed.columns if c not in (*key, "position")]
+    new = hashed.groupBy(*key).agg(F.max_by(F.struct(*rest), last).alias("_v")).select(*key, "_v.*")
     old = existing.withColumn("_old", F.lit(True))
     joined = old.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), key, "full_outer")
     same = F.col("o.content_hash").eqNullSafe(F.col("n.content_hash"))

@@ -9,7 +9,7 @@ TEXT = "Lead.\n\n== Historia ==\nAntes.\n\n=== Inicio ===\nPrimeiro ano.\n\n===
 
 
 def test_trails():
-    assert list(chunking.paragraphs(TEXT)) == [("", "Lead."), ("Historia", "Antes."), ("Historia > Inicio", "Primeiro ano."), ("Historia > Fim", "Ultimo ano."), ("Hoje", "Agora.")]
+    assert [(path, p) for path, ps in chunking.layout(TEXT) for p in ps] == [("", "Lead."), ("Historia", "Antes."), ("Historia > Inicio", "Primeiro ano."), ("Historia > Fim", "Ultimo ano."), ("Hoje", "Agora.")]
     assert chunking.cut("") == []
 
 
@@ -32,7 +32,7 @@ def test_no_chunk_is_too_long_and_nothing_is_lost(body, most):
     got = chunking.cut(body, sizes)
     assert all(len(c) <= most for _, c in got)
     kept = "".join("".join(c.split()) for _, c in got)
-    assert kept == "".join("".join(p.split()) for _, p in chunking.paragraphs(body))
+    assert kept == "".join("".join(p.split()) for _, ps in chunking.layout(body) for p in ps)
 
 
 def test_chunk_ids_and_ordinals(spark):
