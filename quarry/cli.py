@@ -1,4 +1,4 @@
-"""python -m quarry.cli COMMAND: ingest, ingest-dir, docs, search, ask, graph-build, explore, connect, stats, graph-export, serve."""
+"""python -m quarry.cli COMMAND: ingest, ingest-dir, docs, search, ask, graph-build, explore, connect, stats, graph-export, evaluate, serve, mcp."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from quarry import mcp
 from quarry.config import Settings
 from quarry.engine import Engine
-from quarry.operators import graph
+from quarry.operators import evaluate, graph
 from quarry.server import serve
+from quarry.sources import remote
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,12 +39,17 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("b")
     c.add_argument("--max-hops", type=int, default=4)
     sub.add_parser("graph-export").add_argument("path")
+    sub.add_parser("evaluate").add_argument("questions")
+    sub.add_parser("mcp")
     sub.add_parser("serve").add_argument("--port", type=int, default=8000)
     return p
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    for stream in (sys.stdout, sys.stderr):  # names have accents, whatever the console's code page
+        if hasattr(stream, "reconfigure"):
+            stream.reconfigure(encoding="utf-8", errors="replace")
     engine = Engine(spark or SparkSession.builder.appName("quarry").getOrCreate(), Settings.load())
     show = lambda x: print(json.dumps(x, ensure_ascii=False, indent=1, default=str))
     match args.command:
@@ -74,6 +81,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return int(not found["found"])
         case "graph-export":
             graph.export_json(engine.store.table("nodes"), engine.store.table("edges"), args.path)
+        case "evaluate":
+            print(evaluate.format_table(engine.evaluate(remote.golden_questions(engine.spark, args.questions))))
+        case "mcp":
+            mcp.serve(engine)
         case "serve":
             serve(engine, args.port).serve_forever()
     return 0

@@ -15,7 +15,11 @@ class Settings:
     ingest_root: str | None = None
     ingest_hosts: tuple[str, ...] = fixed.ALLOWED_HOSTS
     embedding_dim: int = 64
+    #: local: deterministic stand-ins; server: models behind model_url; hosted: the same with a key.
     provider: str = "local"
+    model_url: str = "http://localhost:11434"
+    embedding_model: str = "bge-m3"
+    chat_model: str = "qwen2.5:7b-instruct"
     api_key: str | None = None
 
     def __post_init__(self):

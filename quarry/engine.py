@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry import providers
+from quarry import clients, providers
 from quarry.config import Settings
 from quarry.functions import fixed, text
-from quarry.operators import agent, chunking, graph, resolution, retrieval
-from quarry.sources import policy, store
+from quarry.operators import agent, chunking, evaluate, graph, resolution, retrieval
+from quarry.sources import policy, remote, store
 from quarry.sources.shared import materialize
 
 
@@ -17,21 +17,28 @@ class Engine:
     def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder=None, extractor=None, scorer=None, answerer=None, classify=None):
         self.spark, self.settings = spark, settings or Settings.load()
         self.store = store.Store(spark, self.settings.store)
-        self.embedder = embedder or providers.HashEmbedder(self.settings.embedding_dim)
-        self.extractor, self.scorer = extractor or providers.RuleExtractor(), scorer or providers.overlap_scorer
-        self.answerer, self.classify = answerer or providers.extractive_answer, classify
+        given = clients.providers(self.settings) if self.settings.provider != "local" else {}
+        self.embedder = embedder or given.get("embedder") or providers.HashEmbedder(self.settings.embedding_dim)
+        self.extractor, self.scorer = extractor or given.get("extractor") or providers.RuleExtractor(), scorer or given.get("scorer") or providers.overlap_scorer
+        self.answerer, self.classify = answerer or given.get("answerer") or providers.extractive_answer, classify or given.get("classify")
         self.store.apply_schema()
 
     # ---- ingest
 
     def ingest(self, documents: DataFrame, force: bool = False, sizes: chunking.Sizes = chunking.Sizes()) -> dict[str, int]:
         """documents: source, external_id, title, url, content, metadata. Equal content is skipped unless forced."""
-        merged = materialize(store.upsert_documents(self.store.table("documents"), documents), "upsert")
+        keys = documents.select("source", "external_id").distinct()
+        touched = [r.part for r in keys.select(store.part_of("documents").alias("part")).distinct().collect()]
+        merged = materialize(store.upsert_documents(self.store.table("documents", touched), documents), "upsert")
         new = merged.filter(F.col("status").isin("inserted", "updated", *(["unchanged"] if force else [])))
         cut = materialize(chunking.chunk_documents(new.select("id", "source", "external_id", "content"), sizes).withColumn("embedding", providers.embed(F.col("content"), self.embedder)), "chunks")
-        self.store.replace("documents", merged.withColumn("ingested_at", F.current_timestamp()))
-        self.store.replace("chunks", store.replace_chunks(self.store.table("chunks"), cut.drop("char_count"), new.select(F.col("id").alias("document_id"))))
-        self.store.replace("edges", store.prune_edges(self.store.table("edges"), self.store.table("chunks")))
+        ids = materialize(new.select(F.col("id").alias("document_id")), "changed")
+        gone = materialize(self.store.table("chunks").join(ids, "document_id", "left_semi").join(cut.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id"), "gone")
+        self.store.rewrite("documents", keys, lambda _: merged.withColumn("ingested_at", F.current_timestamp()))
+        self.store.rewrite("chunks", ids, lambda old: store.replace_chunks(old, cut.drop("char_count"), ids))
+        counted = retrieval.postings(cut).join(cut.select("chunk_id", "document_id"), "chunk_id")
+        self.store.rewrite("postings", ids, lambda old: old.join(ids, "document_id", "left_anti").unionByName(counted))
+        self.store.rewrite("edges", gone, lambda old: old.join(gone, "chunk_id", "left_anti"))
         counts = {r["status"]: r["count"] for r in merged.groupBy("status").count().collect()}
         return {"new": new.count(), "skipped": 0 if force else counts.get("unchanged", 0), "chunks": cut.count()}
 
@@ -48,6 +55,21 @@ class Engine:
         report = self.ingest(read.filter("error IS NULL").drop("error"))
         return report | {"failures": {r.external_id: r.error for r in read.filter("error IS NOT NULL").select("external_id", "error").collect()}}
 
+    def ingest_encyclopedia(self, opener, titles: list[str] | None = None) -> dict[str, int]:
+        """Pages by title, the demonstration corpus without titles. opener(parameters) -> response text."""
+        return self.ingest(remote.fetch_wiki(self.spark, list(titles or fixed.DEMO_CORPUS), opener))
+
+    def evaluate(self, questions: DataFrame, limit: int = 5, modes: tuple[str, ...] = retrieval.MODES) -> list[evaluate.Run]:
+        """A golden set in every mode without reranking, in hybrid mode with it, and as the router would have it."""
+        runs = [evaluate.run(self.spark, mode, questions, lambda q, mode=mode: self.search(q, mode, limit, rerank=False)) for mode in modes]
+        runs.append(evaluate.run(self.spark, "hybrid + rerank", questions, lambda q: self.search(q, "hybrid", limit)))
+
+        def routed(q: str) -> DataFrame:
+            plan = agent.strategy(self.spark, q, self.classify)
+            return self.search(q, plan.mode, plan.limit, plan.candidate_pool, plan.graph_weight, plan.rerank)
+
+        return [*runs, evaluate.run(self.spark, "roteado", questions, routed)]
+
     def list_documents(self) -> dict:
         rows = policy.available(self.spark, self.settings.policy)
         return {"root_configured": self.settings.ingest_root is not None, "documents": [r.asDict() for r in rows.collect()]}
@@ -57,42 +79,63 @@ class Engine:
     def build_graph(self, limit: int | None = None, refresh: bool = False) -> dict[str, int]:
         """Extract from chunks that the cache doesn't know, resolve, rewrite, write. Only the processed chunks' mentions are replaced."""
         titles = self.store.table("documents").select(F.col("id").alias("document_id"), "title")
-        chunks = self.store.table("chunks").join(titles, "document_id").orderBy("title", "ordinal")
-        chunks = chunks if limit is None else chunks.limit(limit)
+        chunks = self.store.table("chunks").join(titles, "document_id")
+        chunks = chunks if limit is None else chunks.orderBy("title", "ordinal").limit(limit)
         chunks = materialize(chunks.select("chunk_id", "content", "title", "ordinal", text.fingerprint(F.col("content"), self.extractor.model, self.extractor.version).alias("fingerprint")), "build")
         cache = self.store.table("cache")
         todo = chunks if refresh else chunks.join(cache.select("fingerprint"), "fingerprint", "left_anti")
         made = materialize(providers.extract(todo.dropDuplicates(["fingerprint"]), self.extractor).join(chunks.select("chunk_id", "fingerprint"), "chunk_id"), "extracted")
         fresh = made.filter("error IS NULL").select("fingerprint", "chunk_id", "payload", F.current_timestamp().alias("created_at"))
-        self.store.replace("cache", cache.join(fresh.select("fingerprint"), "fingerprint", "left_anti").unionByName(fresh))
+        self.store.rewrite("cache", fresh, lambda old: old.join(fresh.select("fingerprint"), "fingerprint", "left_anti").unionByName(fresh))
         known = chunks.join(self.store.table("cache").select("fingerprint", "payload"), "fingerprint").withColumn("x", F.from_json("payload", providers.EXTRACTION)).filter("x.entities IS NOT NULL")
         order = F.xxhash64("title").bitwiseAND(F.lit((1 << 30) - 1)) * 1_000 + F.col("ordinal")
         extractions = materialize(known.select("chunk_id", order.alias("seq"), "x.entities", F.coalesce("x.relations", F.from_json(F.lit("[]"), "array<struct<source:string,target:string,type:string,evidence:string>>")).alias("relations")), "extractions")
         mentions = resolution.flatten_entities(extractions)
         nodes = materialize(resolution.resolve(mentions), "nodes")
         rewritten = materialize(resolution.rewrite_edges(nodes, resolution.flatten_relations(extractions)), "edges")
-        merged = materialize(store.upsert_nodes(self.store.table("nodes"), nodes), "merged")
-        self.store.replace("edges", store.upsert_edges(self.store.table("edges"), rewritten.filter("NOT dropped").drop("dropped"), merged))
-        self.store.replace("nodes", merged)
-        self.store.replace("mentions", store.replace_mentions(self.store.table("mentions"), resolution.mention_table(nodes, mentions), chunks))
+        self.store.rewrite("nodes", nodes, lambda old: store.upsert_nodes(old, nodes))
+        kept = rewritten.filter("NOT dropped").drop("dropped")
+        self.store.rewrite("edges", kept, lambda old: store.upsert_edges(old, kept, self.store.table("nodes")))
+        self.store.rewrite("mentions", chunks, lambda old: store.replace_mentions(old, resolution.mention_table(nodes, mentions), chunks))
         return {"chunks": chunks.count(), "extracted": made.filter("error IS NULL").count(), "errors": made.filter("error IS NOT NULL").count(), "nodes": nodes.count(), "edges": rewritten.filter("NOT dropped").count(), "dropped": rewritten.filter("dropped").count()}
 
     # ---- search
 
     def search(self, question: str, mode: str = "hybrid", limit: int = 5, pool: int = fixed.POOL, graph_weight: float = 0.5, rerank: bool = True) -> DataFrame:
         """Ranked chunks with their citations."""
+        return self.traced(question, mode, limit, pool, graph_weight, rerank)[0]
+
+    def traced(self, question: str, mode: str = "hybrid", limit: int = 5, pool: int = fixed.POOL, graph_weight: float = 0.5, rerank: bool = True) -> tuple[DataFrame, dict]:
+        """Ranked chunks, and how they came about: how many each way found, and which entities guided the expansion."""
         limit, pool = max(1, min(20, limit)), max(pool, limit)
-        chunks = self.store.table("chunks")
-        vector = retrieval.vector_topk(chunks, self.embedder.embed([question])[0], pool) if mode != "lexical" else None
+        chunks, mentions, edges = (self.store.table(t) for t in ("chunks", "mentions", "edges"))
         asked = self.spark.createDataFrame([(0, question)], "query_id int, text string")
-        lexical = retrieval.lexical_search(retrieval.postings(chunks), asked, pool) if mode in ("lexical", "hybrid") else None
-        ids = retrieval.hybrid(vector, lexical, self.store.table("mentions"), self.store.table("edges"), mode, pool if rerank else limit, pool, graph_weight)
-        hits = retrieval.with_payload(ids, chunks, self.store.table("documents"))
-        return retrieval.rerank(hits, asked, self.scorer, limit) if rerank else hits
+
+        def held(hits: DataFrame | None) -> tuple[DataFrame | None, int]:  # pool rows at most, so what follows needn't search again
+            rows = hits.collect() if hits is not None else []
+            return (self.spark.createDataFrame(rows, hits.schema) if hits is not None else None), len(rows)
+
+        vector, by_vector = held(retrieval.vector_topk(chunks, self.embedder.embed([question])[0], pool) if mode != "lexical" else None)
+        terms = [r.term for r in retrieval.query_terms(asked).collect()]
+        index = self.store.table("postings").filter(F.col("term").isin(terms) if terms else F.lit(False))
+        lexical, by_words = held(retrieval.lexical_search(index, asked, pool) if mode in ("lexical", "hybrid") else None)
+        ids, fused = held(retrieval.hybrid(vector, lexical, mentions, edges, mode, pool if rerank else limit, pool, graph_weight))
+        found = retrieval.with_payload(ids, chunks, self.store.table("documents"))
+        if rerank:
+            found = retrieval.rerank(found, asked, self.scorer, limit)
+        spread, entities = 0, []
+        if mode in ("graph", "hybrid") and graph_weight > 0:
+            base = retrieval.fuse([(vector, 1.0)] if mode == "graph" else [(vector, 1.0), (lexical, 1.0)], limit=pool).select(*retrieval.HITS)
+            entities = retrieval.guides(mentions, base)
+            spread = retrieval.expand(mentions, edges, base.filter("rank <= 5"), limit=pool).count()
+        trace = {"vector": by_vector, "lexical": by_words, "graph": spread, "fused": fused, "reranked": min(fused, limit) if rerank else 0, "entities": entities}
+        return found, trace
 
     def search_knowledge(self, question: str, mode: str = "hybrid", limit: int = 5) -> dict:
-        rows = self.search(question, mode, limit).orderBy("rank").collect()
-        return {"hits": [{"content": r.content, "citation": r.citation, "score": round(r.score, 4)} for r in rows], "note": f"modo={mode} trechos={len(rows)}"}
+        found, trace = self.traced(question, mode, limit)
+        rows = found.orderBy("rank").collect()
+        note = retrieval.trace_summary(**{k: v for k, v in trace.items() if k != "entities"})
+        return {"hits": [{"content": r.content, "citation": r.citation, "score": round(r.score, 4)} for r in rows], "note": f"modo={mode} {note}", "entities": trace["entities"]}
 
     # ---- graph questions
 

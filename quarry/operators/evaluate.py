@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -29,15 +33,35 @@ def metrics(judged: DataFrame) -> DataFrame:
     return judged.rollup("kind").agg(F.count("*").alias("questions"), F.avg(share).alias("recall"), F.avg((F.col("found") > 0).cast("double")).alias("hit_rate"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
-def format_table(runs: list[tuple[str, DataFrame, float]]) -> str:
-    """Markdown: a row for each run, a column for each kind that the data hold. runs: label, judged, seconds."""
-    rows = [(label, {r.kind: r for r in metrics(judged).collect()}, seconds) for label, judged, seconds in runs]
-    kinds = sorted({k for _, m, _ in rows for k in m if k is not None})
-    head = ["estrategia", "recall geral", *kinds, "MRR", "seg"]
-    cell = lambda m, k: f"{m[k].recall if k in m and m[k].recall is not None else 0:.0%}"
-    lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
-    lines += ["| " + " | ".join([label, cell(m, None), *[cell(m, k) for k in kinds], f"{(m[None].mrr if None in m and m[None].mrr is not None else 0):.3f}", f"{seconds:.0f}"]) + " |" for label, m, seconds in rows]
-    return "\n".join(lines)
+def run(spark: SparkSession, label: str, questions: DataFrame, search: Callable[[str], DataFrame]) -> Run:
+    """A golden set against one way of searching. search: question -> hits (rank, content); questions: query_id, text, kind, anchors."""
+    began, hits = time.monotonic(), []
+    for q in questions.select("query_id", "text").toLocalIterator():  # a golden set: tens of questions
+        hits += [(q.query_id, r["rank"], r.content) for r in search(q.text).select("rank", "content").collect()]
+    seconds = time.monotonic() - began
+    found = spark.createDataFrame(hits, f"query_id {questions.schema['query_id'].dataType.simpleString()}, rank int, content string")
+    return Run(label, {r.kind: r for r in metrics(judge(questions, found)).collect()}, seconds)
+
+
+class Run(NamedTuple):
+    label: str
+    by_kind: dict
+    """Metrics by kind of question; None: all."""
+    seconds: float
+
+    def share(self, kind: str | None, measure: str = "recall") -> float:
+        return (self.by_kind[kind][measure] or 0.0) if kind in self.by_kind else 0.0
+
+
+def format_table(runs: list[tuple[str, DataFrame, float] | Run]) -> str:
+    """Markdown: a row for each run, a column for each kind that the data hold. runs: Run, or label, judged, seconds."""
+    runs = [r if isinstance(r, Run) else Run(r[0], {m.kind: m for m in metrics(r[1]).collect()}, r[2]) for r in runs]
+    kinds = sorted({k for r in runs for k in r.by_kind} - {None})
+    columns = {"estrategia": lambda r: r.label, "recall geral": lambda r: f"{r.share(None):.0%}"}
+    columns |= {k: (lambda r, k=k: f"{r.share(k):.0%}") for k in kinds}
+    columns |= {"MRR": lambda r: f"{r.share(None, 'mrr'):.3f}", "seg": lambda r: f"{r.seconds:.0f}"}
+    rows = [list(columns), ["---"] * len(columns), *([cell(r) for cell in columns.values()] for r in runs)]
+    return "\n".join("| " + " | ".join(row) + " |" if i != 1 else "|" + "|".join(row) + "|" for i, row in enumerate(rows))
 
 
 def confusion(questions: DataFrame) -> DataFrame:
@@ -59,6 +83,14 @@ def multihop_valid(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return questions.join(valid, "query_id", "left_semi")
 
 
+def multihop_questions(pairs: DataFrame, chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """Questions that need two documents: query_id, text, kind, anchors, bridge. pairs: query_id, text, anchor, bridge; the ones whose
+    answer stands together with the bridge are left out.
+    """
+    good = multihop_valid(pairs, chunks).select("query_id", "text", F.lit("multihop").alias("kind"), F.array("anchor").alias("anchors"), "bridge")
+    return good if most is None else good.orderBy("query_id").limit(most)
+
+
 def verdict(before: dict, after: dict) -> str:
     """Which router stays: by recall, unless both are saturated, then by reciprocal rank; a tie keeps the old one."""
     key = "mrr" if min(before["recall"], after["recall"]) >= 0.999 else "recall"

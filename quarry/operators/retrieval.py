@@ -175,6 +175,11 @@ def expand(mentions: DataFrame, edges: DataFrame, hits: DataFrame, depth: int =
     return chunks_of_entities(mentions, near, hits, limit)
 
 
+def guides(mentions: DataFrame, hits: DataFrame, limit: int = fixed.SEED_LIMIT) -> list[str]:
+    """The entities that an expansion of the first hits starts from, best first: limit at most."""
+    return [r.entity_key for r in seed_entities(mentions, hits.filter("rank <= 5"), limit).orderBy("rank").collect()]
+
+
 MODES = ("vector", "lexical", "graph", "hybrid")
 
 
