@@ -215,19 +215,42 @@ def neighbors_depth2(spark, sf_dir):
     return graph.neighbours(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "customer:1", depth=2)
 
 
-@query(f"""WITH RECURSIVE {_NODES}, flat AS (SELECT source_key AS a, target_key AS b FROM edges UNION SELECT target_key, source_key FROM edges),
-walk AS (SELECT 'supplier:1' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM walk JOIN flat ON node = a WHERE hops < 4 AND node <> 'customer:1')
-SELECT min(hops)::INTEGER AS hops, 'supplier:1' AS source, 'customer:1' AS target FROM walk WHERE node = 'customer:1' HAVING min(hops) IS NOT NULL""")
+def _path_sql(source: str, target: str, passable: str = "true", hops: int = 4) -> str:
+    """Level by level: of each node the least way there; nodes that aren't passable can only be ended at."""
+    levels = [f"l0 AS (SELECT '{source}' AS node, ['{source}'] AS path)"]
+    for i in range(1, hops + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{j}" for j in range(i))
+        levels.append(f"l{i} AS (SELECT b AS node, min(list_append(path, b)) AS path FROM l{i - 1} JOIN flat ON a = node WHERE b NOT IN ({seen}) AND ({passable if i > 1 else 'true'}) GROUP BY b)")
+    ends = " UNION ALL ".join(f"SELECT {i} AS hops, path FROM l{i} WHERE node = '{target}'" for i in range(1, hops + 1))
+    step = "(SELECT min({'t': type, 'e': evidence}) FROM both_ways WHERE a = path[i] AND b = path[i + 1])"
+    return f"""WITH {_NODES}, both_ways AS (SELECT source_key AS a, target_key AS b, type, evidence FROM edges UNION ALL SELECT target_key, source_key, type, evidence FROM edges), flat AS (SELECT DISTINCT a, b FROM both_ways WHERE a <> b),
+{', '.join(levels)}, best AS (SELECT * FROM ({ends}) ORDER BY hops LIMIT 1), steps AS (SELECT hops, path, i, {step} AS s FROM best, unnest(range(1, hops + 1)) AS r(i))
+SELECT hops::INTEGER AS hops, array_to_string(path, '>') AS path, string_agg(s.t, '>' ORDER BY i) AS relations, string_agg(s.e, '>' ORDER BY i) AS evidence FROM steps GROUP BY hops, path"""
+
+
+def _path(spark, sf_dir, source, target, **how):
+    found = graph.shortest_path(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), source, target, **how)
+    return found.select("hops", *[F.array_join(c, ">").alias(c) for c in ("path", "relations", "evidence")])
+
+
+_NO_PLACE = "split_part(node, ':', 1) NOT IN ('nation', 'region')"
+
+
+@query(_path_sql("supplier:1", "customer:1"))
 def shortest_path(spark, sf_dir):
-    found = graph.shortest_path(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "supplier:1", "customer:1", avoid_types=())
-    return found.select("hops", F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("target"))
+    return _path(spark, sf_dir, "supplier:1", "customer:1", avoid_types=())
 
 
-@query("SELECT 0::INTEGER AS hops, '' AS source, '' AS target WHERE false")
+@query(_path_sql("supplier:1", "customer:1", _NO_PLACE))
 def shortest_path_hubs_barred(spark, sf_dir):
     """A supplier and a customer meet in places only, and those can't be passed."""
-    found = graph.shortest_path(inputs.graph_nodes(spark, sf_dir), inputs.graph_edges(spark, sf_dir), "supplier:1", "customer:1")
-    return found.select("hops", F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("target"))
+    return _path(spark, sf_dir, "supplier:1", "customer:1")
+
+
+@query(_path_sql("supplier:1", "nation:1", _NO_PLACE))
+def shortest_path_around_hubs(spark, sf_dir):
+    """The way to a place leads over parts and other suppliers where places can't be passed."""
+    return _path(spark, sf_dir, "supplier:1", "nation:1")
 
 
 @query(f"WITH {_NODES} SELECT source_key, target_key, type, arg_min(evidence, (chunk_id, evidence)) AS evidence, count(*)::BIGINT AS edges FROM edges GROUP BY 1, 2, 3")
@@ -375,7 +398,19 @@ def entity_cluster(spark, sf_dir):
     return found.withColumn("aliases", F.when(F.size("aliases") > 0, F.array_join("aliases", "|")))
 
 
-@query()
+_INITIALS = "upper(array_to_string(list_transform(list_filter(string_split({}, ' '), lambda w: w <> '' AND w NOT IN ('de','da','do','das','dos','e','em','para','a','o')), lambda w: w[1]), ''))"
+
+
+@query(f"""WITH mentions AS (SELECT p_name AS name, 'Produto' AS type, p_partkey AS seq FROM part UNION ALL SELECT {_INITIALS.format(_KEY.format("p_name"))}, 'Outro', p_partkey + 1000000000 FROM part),
+spelled AS (SELECT {_KEY.format("name")} AS key, name, type, seq FROM mentions WHERE {_KEY.format("name")} <> ''), named AS (SELECT key, name, min(seq) AS first FROM spelled GROUP BY 1, 2),
+long AS (SELECT DISTINCT {_INITIALS.format("key")} AS acronym, key AS target FROM named WHERE contains(trim(name), ' ') AND length({_INITIALS.format("key")}) >= 2),
+short AS (SELECT key, upper(trim(name)) AS acronym, first FROM named WHERE regexp_matches(trim(name), '^[A-Z][A-Z0-9]{{1,7}}$')),
+sole AS (SELECT key, acronym, min(first) AS first, min(target) AS target FROM short JOIN long USING (acronym) WHERE target <> key GROUP BY 1, 2 HAVING count(DISTINCT target) = 1),
+chosen AS (SELECT key, arg_min(target, {{'f': first, 'a': acronym}}) AS target FROM sole GROUP BY 1), ends AS (SELECT * FROM chosen WHERE target NOT IN (SELECT key FROM chosen)),
+keyed AS (SELECT coalesce(target, key) AS key, name, type, seq FROM spelled LEFT JOIN ends USING (key)),
+names AS (SELECT key, name, count(*) AS n, min(seq) AS first FROM keyed GROUP BY 1, 2), types AS (SELECT key, type, count(*) AS n, min(seq) AS first FROM keyed GROUP BY 1, 2),
+top_name AS (SELECT key, name FROM names QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, length(name) DESC, first) = 1), top_type AS (SELECT key, type FROM types QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, (type <> 'Outro') DESC, first) = 1)
+SELECT key, t.name, y.type, coalesce(array_to_string(list_sort(list(n.name) FILTER (WHERE n.name <> t.name)), '|'), '') AS aliases, sum(n.n)::BIGINT AS mentions FROM names n JOIN top_name t USING (key) JOIN top_type y USING (key) GROUP BY ALL""")
 def acronym_merge(spark, sf_dir):
     p = inputs.read(spark, sf_dir, "part")
     names = p.select(F.col("p_name").alias("name"), F.lit("Produto").alias("type"), F.col("p_partkey").alias("seq"))
