@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._base import BROADCAST_MB, documents, materialize, memory_mb, text_chunks
+from quarry.llm._base import BROADCAST_MB, broadcast_if_small, documents, materialize, memory_mb, text_chunks
 
 #: A line that stands on a single page of its host isn't repeated, whatever its share.
 LEAST_PAGES = 2
@@ -150,8 +150,8 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8)
     """
     units = materialize(hash_units(docs, unit, min_words), "units")
     place = F.struct("doc_id", "row", "start")
-    firsts = units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    found = units.join(firsts, ["hi", "lo"])
+    firsts = materialize(units.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "firsts")
+    found = units.join(broadcast_if_small(firsts), ["hi", "lo"])  # written first: a very common unit's rows can then be shared among tasks
     return found.filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "row", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copies")
 
 
@@ -209,8 +209,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """
     windows = materialize(hash_windows(docs, min_words), "windows")
     place = F.struct("doc_id", "row", "start")
-    firsts = windows.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    later = windows.join(firsts, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first"))).drop("hi", "lo")
+    firsts = materialize(windows.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "firsts")
+    later = windows.join(broadcast_if_small(firsts), ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first"))).drop("hi", "lo")
     order = Window.partitionBy("row").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = later.withColumn("new", F.when(F.col("start") < reached, 0).otherwise(1))

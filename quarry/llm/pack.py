@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._base import documents, materialize, text_chunks
+from quarry.llm._base import BROADCAST_MB, documents, materialize, memory_mb, text_chunks
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, seq long"
@@ -269,6 +269,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     tables = {n: tuple(np.array(c, dtype=np.int64) for c in zip(*rows)) for n, rows in places.items() if rows}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranks = F.broadcast(ranks) if memory_mb(counts) <= BROADCAST_MB else ranks.hint("merge")  # on disk they are far smaller than in memory
     ranked = pieces.join(ranks, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("seq")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
