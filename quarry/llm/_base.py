@@ -68,7 +68,7 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000, rows: int = 4096) -> Iterator[tuple[list, list]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000, rows: int = 4096) -> Iterator[tuple[list, list]]:
     """(ids, texts) lists of at most about so many characters, whatever the size of Arrow's batches; null texts become empty."""
     ids, texts, held = [], [], 0
     for batch in batches:

@@ -163,7 +163,7 @@ def _learnt(own: DataFrame) -> tuple[list[str], np.ndarray, int]:
     known = learn(own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~F.col("held_out")))
     names = list(known)
     logs = np.stack([known[n] for n in names]) if names else np.zeros((0, BUCKETS), np.float32)
-    return names, logs, max(100_000, 6_000_000 // max(4, len(names)))
+    return names, logs, max(100_000, 3_000_000 // max(4, len(names)))
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:

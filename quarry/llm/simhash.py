@@ -321,8 +321,9 @@ def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = fingerp
     """
     prints = documents(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     found = materialize(groups(prints), "groups")
-    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    gone = materialize(found.join(best, "group").filter(F.col("row") != F.col("best.row")).select("row", "doc_id").distinct(), "gone")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count("*").alias("n"))
+    best = materialize(best.filter("n > 1").select("group", "best"), "best")  # written first: a large group's rows can then be shared among tasks
+    gone = materialize(found.join(broadcast_if_small(best), "group").filter(F.col("row") != F.col("best.row")).select("row", "doc_id").distinct(), "gone")
     twice = materialize(found.groupBy("row", "doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("row", "doc_id"), "repeated")
     # the row as one column, so that none of its names meets those used here
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("id"))
