@@ -77,9 +77,14 @@ def citation(title: Column, section: Column, url: Column) -> Column:
     return F.concat(title, F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit(" > "), section)).otherwise(""), F.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit(" ("), url, F.lit(")"))).otherwise(""))
 
 
+def words(c: Column) -> Column:
+    """The folded words of a text, with an empty one where it begins or ends otherwise."""
+    return F.split(fold(c), r"(?U)[^\w]+")
+
+
 def terms(c: Column, stop: bool = True) -> Column:
     """The words of a text for lexical search: folded, without stop words."""
-    found = F.filter(F.split(fold(c), r"(?U)[^\w]+"), lambda w: w != "")
+    found = F.filter(words(c), lambda w: w != "")
     return F.filter(found, lambda w: ~w.isin(*fixed.STOP_WORDS)) if stop else found
 
 

@@ -78,8 +78,8 @@ def matching_postings(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     if not _few(queries):
         return postings(chunks)
     wanted = [r.term for r in query_terms(queries).select("term").distinct().collect()]  # the words of one block of questions
-    words = F.filter(text.terms(F.col("content"), stop=False), lambda w: w.isin(wanted) if wanted else F.lit(False))
-    return chunks.select("chunk_id", F.explode(words).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    words = chunks.select("chunk_id", F.explode(text.words(F.col("content"))).alias("term"))  # filtered as rows, inside generated code
+    return words.filter(F.col("term").isin(wanted) if wanted else F.lit(False)).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
