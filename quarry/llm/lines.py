@@ -123,7 +123,10 @@ def weigh(normal: bytes) -> int:
 
 
 def hash_units(docs: DataFrame, unit: str = "sentence", min_words: int = 8) -> DataFrame:
-    """A row for each unit: where it stands (code points) and 128 bits of its normal form. row tells repeated ids apart."""
+    """A row for each unit: where it stands (code points) and 128 bits of its normal form. row tells repeated ids apart.
+
+    A null or empty text has no units; a null doc_id stays null; each of repeated rows has its own; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -221,10 +224,17 @@ def repeated_passages(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (doc_id unique, text) with the spans (doc_id, start, end; disjoint) cut out of the text; others unchanged."""
-    cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")).withColumnRenamed("doc_id", "_cut_id")
-    joined = docs.join(cuts, docs["doc_id"] == cuts["_cut_id"], "left")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.col("_cuts.end"))
-    starts = F.concat(F.col("_cuts.start"), F.array(F.length("text").cast("long")))
-    pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).drop("_cuts", "_cut_id")
+    """docs (doc_id, text and other columns) with the spans (doc_id, start, end; disjoint) cut out of the text; others unchanged.
+
+    doc_id tells rows apart; a null one matches spans without an id. A null text stays null; other columns pass through whatever
+    their names; without spans, or rows, nothing changes.
+    """
+    cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")).withColumnRenamed("doc_id", "of")
+    # the row as one column, so that none of its names meets those used here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), docs["text"].alias("body"))
+    joined = rows.join(cuts, F.col("id").eqNullSafe(F.col("of")), "left")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts.end"))
+    starts = F.concat(F.col("cuts.start"), F.array(F.length("body").cast("long")))
+    pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring(F.col("body"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
+    text = F.when(F.col("cuts").isNull(), F.col("body")).otherwise(F.array_join(pieces, ""))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -82,6 +82,15 @@ def test_boilerplate_too_large_for_a_broadcast(spark, small, monkeypatch):
     assert sorted(map(tuple, lines.line_report(docs).collect())) == want
 
 
+def test_spans_are_cut_whatever_the_ids_and_columns(spark):
+    rows = [(1, "one two three"), (2, None), (None, "four five"), (3, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, cuts int, _cuts int, row int")
+    spans = spark.createDataFrame([(1, 4, 8), (1, 0, 1), (None, 0, 5)], "doc_id long, start long, end long")
+    cut = lines.remove_spans(docs, spans)
+    assert cut.columns == docs.columns and {(r.doc_id, r.text) for r in cut.collect()} == {(1, "ne three"), (2, None), (None, "five"), (3, "")}
+    assert lines.remove_spans(docs, spans.limit(0)).count() == 4 and lines.remove_spans(docs.limit(0), spans).count() == 0
+
+
 # ---- sums and components
 
 
