@@ -106,14 +106,17 @@ def _few(queries: DataFrame) -> bool:
 
 
 def bm25_search(index: DataFrame, sizes: DataFrame, queries: DataFrame, limit: int = fixed.POOL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """index: postings() or matching_postings(); sizes: lengths(). Either may be a kept table."""
+    """index: postings() or matching_postings(); sizes: lengths(). Either may be a kept table.
+
+    The words' weights are added as decimals, whose sum doesn't depend on the order of the rows: copies of a text tie, and go by chunk_id.
+    """
     totals = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     wanted = F.broadcast(query_terms(queries)) if _few(queries) else query_terms(queries)
     hits = index.join(wanted, "term")
     df = hits.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = hits.join(df, "term").join(sizes, "chunk_id").join(F.broadcast(totals)).groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
+    scored = hits.join(df, "term").join(sizes, "chunk_id").join(F.broadcast(totals)).groupBy("query_id", "chunk_id").agg(F.sum(weight.cast("decimal(28,17)")).cast("double").alias("score"))
     return top(scored, limit).select(*HITS)
 
 

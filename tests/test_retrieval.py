@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ def test_lexical_any_word_and_stop_words_only(spark):
     assert ask("de o que") == []
 
 
+def test_equal_bm25_scores_go_by_chunk_id_whatever_the_order_of_the_rows(spark):
+    counts = list(itertools.permutations([1, 2, 3, 5, 8]))  # the same weights, in each order
+    chunks = spark.createDataFrame([(c, " ".join(f"w{c}x{j} " * n for j, n in enumerate(p))) for c, p in enumerate(counts)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(0, " ".join(f"w{c}x{j}" for c in range(len(counts)) for j in range(5)))], "query_id int, text string")
+    got = R.bm25_search(R.postings(chunks), R.lengths(chunks), asked, limit=len(counts)).orderBy("rank").collect()
+    assert len({r.score for r in got}) == 1 and [r.chunk_id for r in got] == list(range(len(counts)))
+
+
 @pytest.fixture(scope="module")
 def graph(spark):
     mentions = spark.createDataFrame([("seed", "c1"), ("seed", "c2"), ("near", "c3"), ("near", "c4"), ("other", "c4"), *[("hub", f"c{i}") for i in range(1, 9)]], "entity_key string, chunk_id string")
