@@ -6,16 +6,23 @@ join last. Total orders end in chunk_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions import fixed, text
+from quarry.operators import blocks
 
 HITS = ("query_id", "chunk_id", "score", "rank")
-#: Queries that one block of an exact search holds.
+#: Questions that are broadcast.
 QUERY_BLOCK = 256
+#: Questions that one task of an exact search by vectors holds.
+QUERIES_HELD = 1 << 14
 
 
 def top(scored: DataFrame, limit: int, *tie: str) -> DataFrame:
@@ -36,25 +43,41 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.POOL) -> DataFrame:
     """Exact cosine search. chunks: chunk_id, embedding; queries: query_id, embedding.
 
-    The stated queries are packed into blocks of bounded size. One block is broadcast, so the rows aren't shuffled; several go
-    to every slice of the rows, which are dealt evenly. Each row meets a block once, and each slice's best are kept before the last
-    shuffle. Chunks without an embedding take no part.
+    The rows are dealt evenly to slices, and each slice meets the questions in blocks of bounded size. A task multiplies them in
+    blocks and keeps each question's best only, so what it holds and sends on grows with the questions, not with the pairs.
+    Rows without an embedding take no part, and vectors of unlike lengths don't meet.
     """
-    unit = lambda v: F.transform(v, lambda x: x / _norm(v))
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    q = q.select("query_id", unit(F.col("v")).alias("q"))
-    rows = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).select("chunk_id", unit(F.col("v")).alias("v"))
-    few = _few(queries)
-    parts = 1 if few else -(-queries.count() // QUERY_BLOCK)
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    if few:
-        met = rows.crossJoin(F.broadcast(blocks))
-    else:
-        slices = 4 * queries.sparkSession.sparkContext.defaultParallelism
-        everywhere = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        met = rows.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")).join(everywhere, "slice")
-    scored = met.select("chunk_id", "v", F.explode("queries").alias("x")).select("x.query_id", "chunk_id", F.aggregate(F.zip_with("v", "x.q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
-    return top(scored, limit).select(*HITS)
+    parts = max(1, -(-queries.count() // QUERIES_HELD))
+    slices = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    asked, found = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
+    v = F.col("embedding").cast("array<double>").alias("v")
+    q = queries.filter("embedding IS NOT NULL").select((F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int") * slices).alias("block"), "query_id", F.lit(None).cast(found).alias("chunk_id"), F.lit(False).alias("is_row"), v)
+    q = q.withColumn("cell", F.explode(F.sequence(F.col("block"), F.col("block") + slices - 1)))
+    rows = chunks.filter("embedding IS NOT NULL").select(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast(asked).alias("query_id"), "chunk_id", F.lit(True).alias("is_row"), v)
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.col("slice"), F.col("slice") + (parts - 1) * slices, F.lit(slices))))
+    columns = [F.col("cell").cast("long"), F.size("v").alias("width"), "is_row", "query_id", "chunk_id", "v"]
+    met = q.select(*columns).unionByName(rows.select(*columns)).repartition(parts * slices, "cell").sortWithinPartitions("cell", "width", "is_row", "chunk_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).cast(pa.int64()).to_numpy() for i in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(edges, edges[1:]):
+                if tuple(keys[lo, :2]) != key:
+                    if best:
+                        yield from best.result()
+                    key, best = tuple(keys[lo, :2]), blocks.Best(limit)
+                part = batch.slice(lo, hi - lo)
+                values = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                best.rows(part.column(4), values) if keys[lo, 2] else best.ask(part.column(3), values)
+        if best:
+            yield from best.result()
+
+    schema = StructType([StructField("query_id", asked), StructField("chunk_id", found), StructField("score", DoubleType())])
+    return top(met.mapInArrow(run, schema), limit).select(*HITS)
 
 
 def vector_topk(chunks: DataFrame, vector: list[float], limit: int = fixed.POOL) -> DataFrame:

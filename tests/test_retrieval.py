@@ -1,5 +1,8 @@
 import itertools
+import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +47,37 @@ def test_vector_search_agrees_with_single_question(spark, monkeypatch, block):
     assert {k: v for (n, k), v in many.items() if n == 7} == one and len(many) == 8
 
 
+def test_vector_search_holds_each_questions_best_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (700, 8)).astype(float)  # small whole numbers: many copies, and ties between others
+    v[5], v[6], v[7:60], v[650] = 0, 2 * v[8], v[8], 0
+    for name, size in (("QUESTIONS", 7), ("ROWS", 16), ("PAIRS", 40), ("BATCH", 9)):
+        monkeypatch.setattr(R.blocks, name, size)
+    best = R.blocks.Best(9)
+    best.ask(pa.array([f"q{i}" for i in range(30)]), v[:30])
+    for lo in (0, 1, 100, 350):
+        best.rows(pa.array(range(lo, {0: 1, 1: 100, 100: 350, 350: 700}[lo])), v[lo : {0: 1, 1: 100, 100: 350, 350: 700}[lo]])
+    got = [r for batch in best.result() for r in batch.to_pylist()]
+    for i in range(30):
+        dot, own, other = ([sum(a * b for a, b in zip(x, y)) for x, y in pairs] for pairs in (((v[i], r) for r in v), ((v[i], v[i]) for r in v), ((r, r) for r in v)))
+        score = [max(-1.0, min(1.0, d / (a * b) ** 0.5)) if a * b else math.inf for d, a, b in zip(dot, own, other)]
+        want = sorted(range(700), key=lambda c: (-score[c], c))[:9]
+        mine = [r for r in got if r["query_id"] == f"q{i}"]
+        assert [r["chunk_id"] for r in mine] == want
+        assert [math.inf if math.isnan(r["score"]) else r["score"] for r in mine] == [score[c] for c in want]
+
+
+@pytest.mark.parametrize("held", [1 << 14, 7])
+def test_vector_search_in_slices_and_blocks(spark, monkeypatch, held):
+    monkeypatch.setattr(R, "QUERIES_HELD", held)
+    rows = spark.range(3000).select(F.col("id").alias("chunk_id"), F.array(F.cos("id"), F.sin("id"), F.lit(0.25)).alias("embedding"))
+    q = rows.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    zero = spark.createDataFrame([(5000, [0.0, 0.0, 0.0]), (5001, None), (5002, [1.0])], "chunk_id long, embedding array<double>")
+    found = R.vector_search(rows.unionByName(zero), q, 3).collect()
+    assert len(found) == 180 and {r.chunk_id for r in found if r.rank == 1} == {5000}  # no number comes first, as in SQL
+    assert sorted(r.query_id for r in found if r.rank == 2 and r.query_id == r.chunk_id) == list(range(0, 3000, 50))
+
+
 def test_lexical_any_word_and_stop_words_only(spark):
     chunks = spark.createDataFrame([(1, "aço minério aço"), (2, "minério"), (3, "papel")], "chunk_id int, content string")
     index = R.postings(chunks)
