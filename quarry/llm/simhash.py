@@ -38,7 +38,11 @@ def fingerprint(text: str) -> int:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
     shingles = map(join, zip(words, words[1:], words[2:])) if len(words) > 2 else [join(words)]
-    h = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
+    return majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of h."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,9 +1,10 @@
 """Near-duplicates by similarity: Jaccard of at least SIMILARITY between the sets of WORDS-word shingles.
 
-The fingerprints of simhash.py can't give these: sets of similarity 0.8 differ in 15 % of all bits, 10 of 64 on average, and a radius
+Candidates are, first, what the fingerprints of the same shingles connect by the generalised pigeonhole principle (simhash.links, as it is):
+all sets of a component. These can't be all: sets of similarity 0.8 differ in 15 % of all bits, 10 of 64 on average, and a radius
 that finds 999 in 1000 of them (19 bits) leaves no partition that the pigeonhole principle could probe for less than all pairs.
 
-Candidates share a band of MinHash values: BANDS bands of ROWS values miss a pair at SIMILARITY with a probability of
+So candidates are also what shares a band of MinHash values: BANDS bands of ROWS values miss a pair at SIMILARITY with a probability of
 (1 - SIMILARITY ** ROWS) ** BANDS, 7 in a million, and closer pairs with less. Every candidate is verified on the whole sets.
 A bucket gives the links of a spanning forest, not all pairs. Equal sets are one node throughout.
 """
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import simhash
 from quarry.llm._base import broadcast_if_small, materialize, text_chunks
 from quarry.llm.components import connected
 
@@ -52,17 +54,25 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """row, doc_id, code (of the set of shingles) and bands of every whole text. rows: row, doc_id, text."""
+    """row, doc_id, code (of the set of shingles), print (its SimHash) and bands of every whole text. rows: row, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches):
             sets = [shingles(t) for t in texts]
             codes = np.fromiter((xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets), np.uint64).view(np.int64)
+            prints = np.fromiter(map(simhash.majority, sets), np.uint64).view(np.int64)
             keys = np.concatenate([bands(h) for h in sets]).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([pa.array([i["row"] for i in ids], pa.int64()), pa.array([i["doc_id"] for i in ids], pa.int64()), pa.array(codes), keys], names=["row", "doc_id", "code", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array([i["row"] for i in ids], pa.int64()), pa.array([i["doc_id"] for i in ids], pa.int64()), pa.array(codes), pa.array(prints), keys], names=["row", "doc_id", "code", "print", "bands"])
 
-    return rows.select(F.struct("row", "doc_id").alias("id"), "text").mapInArrow(run, "row long, doc_id long, code long, bands array<long>")
+    return rows.select(F.struct("row", "doc_id").alias("id"), "text").mapInArrow(run, "row long, doc_id long, code long, print long, bands array<long>")
+
+
+def with_components(nodes: DataFrame) -> DataFrame:
+    """nodes whose bands have one key more: the component that op3's links of their fingerprints give. nodes: print, bands."""
+    prints = materialize(nodes.select(F.col("print").alias("code"), F.col("print").alias("least")).distinct(), "fingerprints")
+    roots = connected(prints, simhash.links(prints.select("code"))).withColumnRenamed("code", "print")
+    return nodes.join(broadcast_if_small(roots), "print").withColumn("bands", F.array_append("bands", F.xxhash64(F.lit("print"), "component_id"))).drop("component_id")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -158,8 +168,8 @@ def forest(codes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def groups(rows: DataFrame) -> DataFrame:
     """row, doc_id, group: equal for what similar texts connect. rows: row (equal only for equal id and text), doc_id, text."""
     prints = materialize(sketches(rows), "sketches")
-    nodes = materialize(prints.groupBy("code").agg(F.min("row").alias("row"), F.first("bands").alias("bands")), "nodes")
-    found = materialize(buckets(nodes), "buckets")
+    nodes = materialize(prints.groupBy("code").agg(F.min("row").alias("row"), F.first("print").alias("print"), F.first("bands").alias("bands")), "nodes")
+    found = materialize(buckets(with_components(nodes)), "buckets")
     members = found.select("bucket", F.explode("codes").alias("code"))
     wanted = materialize(nodes.join(members.select("code").distinct(), "code", "left_semi").select("row", "code"), "wanted")
 

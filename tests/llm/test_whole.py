@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry.llm import language, lines, queries, similar, simhash
 
 
@@ -49,6 +51,17 @@ def test_the_stage_finds_what_is_similar(spark, small, monkeypatch, bucket):
     assert kept == sorted(set(brute_groups(texts)))
 
 
+def test_fingerprints_give_candidates_of_the_stage(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(words[::-1])]
+    print_of = [similar.simhash.majority(similar.shingles(t)) for t in texts]
+    assert (print_of[0] ^ print_of[1]).bit_count() <= simhash.RADIUS < (print_of[0] ^ print_of[2]).bit_count()
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    nodes = similar.with_components(similar.sketches(rows)).withColumn("bands", F.slice("bands", similar.BANDS + 1, 1))  # those of MinHash left out
+    codes = {r.row: r.code for r in nodes.select("row", "code").collect()}
+    assert [set(r.codes) for r in similar.buckets(nodes.select("code", "bands")).collect()] == [{codes[0], codes[1]}]
+
+
 def test_forest_connects_what_is_similar():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in rng.integers(5, 60, 12)]
