@@ -45,12 +45,14 @@ def vector_search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.POOL
 
     The rows are dealt evenly to slices, and each slice meets the questions in blocks of bounded size. A task multiplies them in
     blocks and keeps each question's best only, so what it holds and sends on grows with the questions, not with the pairs.
-    Rows without an embedding take no part, and vectors of unlike lengths don't meet.
+    Rows without an embedding take no part, and vectors of unlike lengths don't meet. Floats travel as floats and are widened where they
+    are multiplied. An id may be a struct that begins with the key: what else it holds comes along with the hit.
     """
     parts = max(1, -(-queries.count() // QUERIES_HELD))
     slices = 4 * queries.sparkSession.sparkContext.defaultParallelism
     asked, found = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
-    v = F.col("embedding").cast("array<double>").alias("v")
+    kinds = {df.schema["embedding"].dataType.simpleString() for df in (chunks, queries)}
+    v = F.col("embedding").cast("array<float>" if kinds == {"array<float>"} else "array<double>").alias("v")
     q = queries.filter("embedding IS NOT NULL").select((F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int") * slices).alias("block"), "query_id", F.lit(None).cast(found).alias("chunk_id"), F.lit(False).alias("is_row"), v)
     q = q.withColumn("cell", F.explode(F.sequence(F.col("block"), F.col("block") + slices - 1)))
     rows = chunks.filter("embedding IS NOT NULL").select(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast(asked).alias("query_id"), "chunk_id", F.lit(True).alias("is_row"), v)
@@ -71,7 +73,7 @@ def vector_search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.POOL
                         yield from best.result()
                     key, best = tuple(keys[lo, :2]), blocks.Best(limit)
                 part = batch.slice(lo, hi - lo)
-                values = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                values = part.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(hi - lo, -1)
                 best.rows(part.column(4), values) if keys[lo, 2] else best.ask(part.column(3), values)
         if best:
             yield from best.result()
