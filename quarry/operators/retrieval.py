@@ -40,25 +40,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (_norm(a) * _norm(b))
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, limit: int = fixed.POOL) -> DataFrame:
+def vector_search(chunks: DataFrame, queries: DataFrame | Column, limit: int = fixed.POOL) -> DataFrame:
     """Exact cosine search. chunks: chunk_id, embedding; queries: query_id, embedding.
 
+    Where the questions are rows themselves, queries may be a column of chunks: the question's id, null for other rows. The table is then
+    read once, not twice side by side.
+
     The rows are dealt evenly to slices, and each slice meets the questions in blocks of bounded size. A task multiplies them in
     blocks and keeps each question's best only, so what it holds and sends on grows with the questions, not with the pairs.
     Rows without an embedding take no part, and vectors of unlike lengths don't meet. Floats travel as floats and are widened where they
     are multiplied. An id may be a struct that begins with the key: what else it holds comes along with the hit.
     """
-    parts = max(1, -(-queries.count() // QUERIES_HELD))
-    slices = 4 * queries.sparkSession.sparkContext.defaultParallelism
-    asked, found = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
-    kinds = {df.schema["embedding"].dataType.simpleString() for df in (chunks, queries)}
+    own = isinstance(queries, Column)
+    asking = chunks.select(queries.alias("query_id")).filter("query_id IS NOT NULL") if own else queries
+    parts = max(1, -(-asking.count() // QUERIES_HELD))
+    slices = 4 * chunks.sparkSession.sparkContext.defaultParallelism
+    asked, found = asking.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
+    kinds = {df.schema["embedding"].dataType.simpleString() for df in ((chunks,) if own else (chunks, queries))}
     v = F.col("embedding").cast("array<float>" if kinds == {"array<float>"} else "array<double>").alias("v")
-    q = queries.filter("embedding IS NOT NULL").select((F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int") * slices).alias("block"), "query_id", F.lit(None).cast(found).alias("chunk_id"), F.lit(False).alias("is_row"), v)
-    q = q.withColumn("cell", F.explode(F.sequence(F.col("block"), F.col("block") + slices - 1)))
-    rows = chunks.filter("embedding IS NOT NULL").select(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast(asked).alias("query_id"), "chunk_id", F.lit(True).alias("is_row"), v)
-    rows = rows.withColumn("cell", F.explode(F.sequence(F.col("slice"), F.col("slice") + (parts - 1) * slices, F.lit(slices))))
-    columns = [F.col("cell").cast("long"), F.size("v").alias("width"), "is_row", "query_id", "chunk_id", "v"]
-    met = q.select(*columns).unionByName(rows.select(*columns)).repartition(parts * slices, "cell").sortWithinPartitions("cell", "width", "is_row", "chunk_id")
+    nothing, block = F.lit(None), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int") * slices
+    slice_ = F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")
+    to_rows = F.sequence(slice_, slice_ + (parts - 1) * slices, F.lit(slices))
+    to_questions = F.sequence(block, block + slices - 1)
+    rows = chunks.withColumn("query_id", queries if own else nothing.cast(asked)).filter("embedding IS NOT NULL").select("query_id", "chunk_id", v)
+    if own:  # a row goes to its own cells as a row, and to its block's as a question
+        cells = lambda at, is_row: F.transform(at, lambda c: F.struct(c.alias("cell"), F.lit(is_row).alias("is_row")))
+        both = F.when(F.col("query_id").isNull(), cells(to_rows, True)).otherwise(F.concat(cells(to_rows, True), cells(to_questions, False)))
+        all_ = rows.select("query_id", "chunk_id", "v", F.inline(both))
+    else:
+        q = queries.filter("embedding IS NOT NULL").select("query_id", nothing.cast(found).alias("chunk_id"), v)
+        all_ = q.select("*", F.explode(to_questions).alias("cell"), F.lit(False).alias("is_row")).unionByName(rows.select("*", F.explode(to_rows).alias("cell"), F.lit(True).alias("is_row")))
+    met = all_.select(F.col("cell").cast("long"), F.size("v").alias("width"), "is_row", "query_id", "chunk_id", "v").repartition(parts * slices, "cell").sortWithinPartitions("cell", "width", "is_row", "chunk_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, best = None, None
